@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.operators import timestamps
+from engram.operators import history, orphans, timestamps
 
 #: (table, its id, where the row came from)
 TS_TABLES = (("raw_messages", "msg_id"), ("sheep_episodes", "id"), ("memory_requests", "request_id"))
@@ -34,4 +34,80 @@ def p4_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(F.col("source").alias("source_table"), "format", "status").agg(F.count("*").alias("n_rows"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_status": p4_status}
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ref_table, row_id, ref_field, ref_key, target, seen) of links and episodes."""
+    links, eps = table(spark, sf_dir, "sheep_causal_links"), table(spark, sf_dir, "sheep_episodes")
+    target = lambda c: F.when(F.lower(F.trim(c)) == "fact", "sheep_facts").when(F.lower(F.trim(c)) == "episode", "sheep_episodes")
+    ends = F.explode(F.array(*[F.struct(F.lit(f"{x}_id").alias("f"), F.col(f"{x}_id").alias("k"), target(F.col(f"{x}_type")).alias("t")) for x in ("cause", "effect")]))
+    a = links.select(F.lit("sheep_causal_links").alias("ref_table"), F.col("id").alias("row_id"), ends.alias("e"), F.col("ingested_at").cast("timestamp").alias("seen"))
+    a = a.select("ref_table", "row_id", F.col("e.f").alias("ref_field"), F.col("e.k").alias("ref_key"), F.col("e.t").alias("target"), "seen")
+    b = eps.select(F.lit("sheep_episodes").alias("ref_table"), F.col("id").alias("row_id"), F.lit("source_message_ids").alias("ref_field"),
+                   F.explode("source_message_ids").alias("ref_key"), F.lit("raw_messages").alias("target"), F.col("ingested_at").cast("timestamp").alias("seen"))
+    return a.unionByName(b)
+
+
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, id, seen) of all referable rows."""
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("target"), F.col(k).alias("id"), F.col("ingested_at").cast("timestamp").alias("seen"))
+             for t, k in (("sheep_facts", "id"), ("sheep_episodes", "id"), ("raw_messages", "msg_id"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _reference_states(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
+    """All references with their state, fed in ``batches`` of arrival time."""
+    low, high = table(spark, sf_dir, "sheep_causal_links").agg(F.min("ingested_at"), F.max("ingested_at")).first()
+    cuts = [low + (high - low) * i / batches for i in range(1, batches)] if low else []
+    return orphans.run(references(spark, sf_dir), parents(spark, sf_dir), cuts)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to rows that are absent or came later."""
+    out = _reference_states(spark, sf_dir).where("state in ('absent', 'late')")
+    return out.select("ref_table", "row_id", "ref_field", "ref_key", "state").distinct()
+
+
+def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References per table, field, month of arrival and state."""
+    out = _reference_states(spark, sf_dir)
+    return out.groupBy("ref_table", "ref_field", F.date_format("seen", "yyyy-MM").alias("period"), "state").agg(F.count("*").alias("n_refs"))
+
+
+ATTRS = ["first_seen", "last_confirmed", "is_active", "retracted_reason"]
+
+
+def p7_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of each fact with the attributes that held (as text)."""
+    snaps = table(spark, sf_dir, "sheep_fact_snapshots").withColumn("retracted_reason", F.lower(F.regexp_replace("retracted_reason", r"(?U)^\s+|\s+$", "")))
+    states = history.latest_delivery(snaps, "fact_id", "snapshot_at", "ingested_at", ATTRS)
+    return history.versions(history.change_log(states, ATTRS), ATTRS).withColumnRenamed("entity", "fact_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of each fact: valid_to_ms is -1 for the last."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return p7_versions(spark, sf_dir).select("fact_id", ms("valid_from").alias("valid_from_ms"), F.coalesce(ms("valid_to"), F.lit(-1)).cast("bigint").alias("valid_to_ms"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p4_found": p4_found, "p4_status": p4_status, "p7_found": p7_found, "p7_versions": p7_versions}
+
+ORACLES = {
+    "p2_found": r"""
+with refs as (
+  select 'sheep_causal_links' ref_table, id row_id, 'cause_id' ref_field, cause_id ref_key, lower(trim(cause_type)) t, ingested_at seen from sheep_causal_links
+  union all select 'sheep_causal_links', id, 'effect_id', effect_id, lower(trim(effect_type)), ingested_at from sheep_causal_links
+  union all select 'sheep_episodes', id, 'source_message_ids', unnest(source_message_ids), 'message', ingested_at from sheep_episodes),
+r as (select ref_table, row_id, ref_field, ref_key, t, min(seen) seen from refs
+  where t in ('fact', 'episode', 'message') and regexp_replace(ref_key, '^\s+|\s+$', '', 'g') <> '' group by all),
+pa as (select 'fact' t, id k, ingested_at seen from sheep_facts union all select 'episode', id, ingested_at from sheep_episodes
+  union all select 'message', msg_id, ingested_at from raw_messages),
+p as (select t, lower(regexp_replace(k, '^\s+|\s+$', '', 'g')) k, min(seen) first_seen from pa group by all)
+select distinct ref_table, row_id, ref_field, ref_key, case when first_seen is null then 'absent' else 'late' end as state
+from r left join p on p.t = r.t and p.k = lower(regexp_replace(ref_key, '^\s+|\s+$', '', 'g'))
+where first_seen is null or first_seen > seen""",
+    "p7_found": r"""
+with s as (select fact_id, snapshot_at, first_seen, last_confirmed, is_active, lower(regexp_replace(retracted_reason, '^\s+|\s+$', '', 'g')) reason, ingested_at from sheep_fact_snapshots),
+o as (select * from s qualify row_number() over (partition by fact_id, snapshot_at order by ingested_at desc) = 1),
+c as (select *, row_number() over w = 1 or lag(first_seen) over w is distinct from first_seen or lag(last_confirmed) over w is distinct from last_confirmed
+  or lag(is_active) over w is distinct from is_active or lag(reason) over w is distinct from reason as starts from o window w as (partition by fact_id order by snapshot_at))
+select fact_id, epoch_ms(snapshot_at) as valid_from_ms, coalesce(epoch_ms(lead(snapshot_at) over (partition by fact_id order by snapshot_at)), -1) as valid_to_ms from c where starts""",
+}
