@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import packing, statements, survivors, tokens
+from engram.llm import language, packing, pii, statements, survivors, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,53 @@ def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(sizes, table(spark, sf_dir, "containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p5_found": p5_found, "p5_counts": p5_counts, "p8_ids": p8_ids, "p9_bins": p9_bins}
+def personal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, row_id, field_name, text) of all fields with free text; replays once."""
+    take = lambda t, k, f, c: table(spark, sf_dir, t).select(F.lit(t).alias("source_table"), F.col(k).alias("row_id"), F.lit(f).alias("field_name"), c.alias("text"))
+    parts = take("raw_messages", "msg_id", "content", F.col("content")).unionByName(take("sheep_episodes", "id", "summary", F.col("summary")))
+    parts = parts.unionByName(take("sheep_facts", "id", "object", F.col("object"))).unionByName(take("sheep_facts", "id", "evidence", F.explode("evidence")))
+    return parts.where("text is not null and row_id is not null").dropDuplicates()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its items replaced by placeholders."""
+    out = pii.redacted(personal_fields(spark, sf_dir))
+    return out.select("source_table", "row_id", "field_name", F.col("r.redacted").alias("redacted"), F.col("r.kinds").alias("kinds"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of personal data in each field."""
+    return p6_redacted(spark, sf_dir).select("source_table", "row_id", "field_name", F.explode("kinds").alias("kind")).distinct()
+
+
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, row_id, lang, text) of messages and queries; replays once."""
+    a = table(spark, sf_dir, "raw_messages").select(F.lit("raw_messages").alias("source_table"), F.col("msg_id").alias("row_id"), "lang", F.col("content").alias("text"))
+    b = table(spark, sf_dir, "recall_requests").select(F.lit("recall_requests").alias("source_table"), F.col("request_id").alias("row_id"), "lang", F.col("query_text").alias("text"))
+    return a.unionByName(b).where("row_id is not null")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(table(spark, sf_dir, "documents"))
+    return language.passages(spread(labelled_texts(spark, sf_dir)), model)
+
+
+def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of every text with its language and confidence."""
+    return _judged(spark, sf_dir).select("source_table", "row_id", F.posexplode("passages").alias("passage", "p")).select("source_table", "row_id", "passage", F.col("p.lang").alias("lang"), F.round("p.confidence", 4).alias("confidence")).distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of texts whose label is missing or wrong, or that hold several languages."""
+    label = F.lower(F.trim(F.translate("lang", "İ", "i")))
+    names = F.create_map(*[F.lit(x) for pair in language.BY_NAME.items() for x in pair])
+    said = F.coalesce(F.element_at(names, label), F.element_at(names, F.element_at(F.split(label, r"[-_ (]"), 1)))
+    rows = _judged(spark, sf_dir).select("source_table", "row_id", said.alias("said"), language.languages(F.col("passages")).alias("langs"))
+    wrong = (F.size("langs") > 1) | F.col("said").isNull() | ~F.array_contains("langs", F.coalesce("said", F.lit("")))
+    return rows.where((F.size("langs") > 0) & wrong).select("source_table", "row_id", F.explode("langs").alias("lang")).distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_passages": p3_passages, "p5_found": p5_found, "p5_counts": p5_counts,
+    "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_bins": p9_bins}
 ORACLES: dict[str, str] = {}
