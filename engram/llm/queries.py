@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import language, packing, pii, statements, survivors, tokens
+from engram.llm import language, packing, pii, residue, statements, survivors, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +95,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.size("langs") > 0) & wrong).select("source_table", "row_id", F.explode("langs").alias("lang")).distinct()
 
 
+def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every excluded document with its reason."""
+    return residue.excluded(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where("reason is not null").select("doc_id", "reason")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to exclude."""
+    return p10_reasons(spark, sf_dir).select("doc_id").distinct()
+
+
 QUERIES = {
-    "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_passages": p3_passages, "p5_found": p5_found, "p5_counts": p5_counts,
+    "p10_found": p10_found, "p10_reasons": p10_reasons, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_passages": p3_passages, "p5_found": p5_found, "p5_counts": p5_counts,
     "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_ids": p8_ids, "p9_bins": p9_bins}
 ORACLES: dict[str, str] = {}
