@@ -46,7 +46,7 @@ def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     """Join a table of unknown skew with a smaller one.
 
     The small side is counted first: up to ``limit`` rows it is broadcast, beyond that it is joined by a
-    salted shuffle (16 salts, the small side repeated per salt), so a hot key never meets a single task.
+    salted shuffle (4 salts, the small side repeated per salt), so a hot key never meets a single task.
     ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
     """
     if small.limit(limit + 1).count() <= limit:
@@ -54,7 +54,7 @@ def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
     return salted_join(big, small, keys, how)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 4) -> DataFrame:
     """Equi-join in which each key of the big side is spread over ``salts`` tasks."""
     spread = big.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
