@@ -115,11 +115,17 @@ mail tool the slot"""
 CHROME = """memory hub
 menu search sign in
 home login help
-request id"""
+request id
+back to start page
+zurück zur startseite
+retour à l'accueil
+volver al inicio
+voltar ao início
+ana sayfaya dön"""
 SLOT = re.compile(
     r"\{\{\{?[^{}\n]{0,40}\}?\}\}|\$\{(?![A-Z_]+\})[\w. ]{1,40}\}|<%=?[^%\n]{1,40}%>|#\{[\w. ]{1,40}\}|%\(\w+\)[sd]|(?<![\w%])%s(?!\w)|\[\[[^\[\]\n]{1,40}\]\]|<<\w[\w ]{0,30}>>|"
     r"<[A-Z][A-Z_]{2,30}>|@@\w+@@|%%\w+%%|(?<!\w)\$[A-Z_]{2,30}\$|(?<!\w)%[A-Z_]{3,30}%|(?<![\w$\"'])\{[a-z_][\w.]{0,30}\}|"
-    r"\[(?!(?:user|assistant|system|at|dot|sic|x|link|image)\b)[^\W\d_][^\[\]\n@]{1,30}\](?![(\[])|(?<!\w)X{3,}(?!\w)|_{4,}")
+    r"\[(?!(?:user|assistant|system|at|dot|sic|x|link|image)\b)[^\W\d_][^\[\]\n@]{1,30}\](?![(\[])|(?<!\w)X{3,}(?!\w)|_{4,}|(?<![\w$])\{\d\}|(?<!\w)__[A-Z]+__(?!\w)")
 MISSING = re.compile(r"(?<![\w\"'./(])(?:null|undefined|NaN|None(?=$|[,.!?]|\s(?:moved|prefers|lives|vive|habite)))(?![\w\"'(])")
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|“[^”\n]*[”“]|„[^“”\n]*[“”]|«[^»\n]*»|(?<![\w{:\s])\"[^\"\n]*\"|(?<=[\s(\w])\"[^\"\n:{}]*\"(?!\s*:)", re.S)
 ROLE = re.compile(r"^\W*\[(?:user|assistant|system)\]:\s*", re.M)
@@ -136,7 +142,7 @@ def exemplars() -> list[tuple[str, list[str]]]:
 
 def windows(text: str) -> list[list[str]]:
     """Tokens of each window outside code and quotations, with slots and missing values marked."""
-    body = ROLE.sub("", CODE.sub(" ", text))
+    body = ROLE.sub("", text if text.lstrip().startswith("{\"") else CODE.sub(" ", text))
     body = MISSING.sub(" ⟨missing⟩ ", SLOT.sub(" ⟨slot⟩ ", body))
     found = (TOKEN.findall(w.lower()) for w in WINDOW.split(TAGS.sub(" \n", body)))
     return [w for w in found if w]
