@@ -47,6 +47,8 @@ error query parameter is required status
 error rate limited status
 error internal error status
 something went wrong
+sorry we can't find that page
+we are down for maintenance back in minutes
 oops
 nginx
 seite nicht gefunden
@@ -74,7 +76,7 @@ oturumunuzun süresi doldu"""
 NOTICES = """please enable javascript to continue
 you have disabled javascript in your browser
 javascript is required to view this memory
-allow cookies and scripts then reload
+enable cookies and scripts then press reload
 app needs scripts to run
 bitte aktivieren sie javascript um fortzufahren
 diese anwendung benötigt skripte
@@ -82,6 +84,7 @@ bitte einschalten und neu laden
 veuillez activer javascript pour continuer
 cette application a besoin de scripts pour fonctionner
 active javascript para continuar
+activa javascript para continuar
 esta aplicación necesita scripts para funcionar
 ative o javascript para continuar
 este aplicativo precisa de scripts para funcionar
@@ -94,6 +97,7 @@ text goes here
 summary here
 sample text replace before release
 text to follow
+description to follow
 blindtext steht hier
 text folgt
 texte à remplacer
@@ -116,6 +120,7 @@ CHROME = """memory hub
 menu search sign in
 home login help
 request id
+reference
 back to start page
 zurück zur startseite
 retour à l'accueil
