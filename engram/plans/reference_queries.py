@@ -139,7 +139,7 @@ SQL = {
       u as (select id, 0.4 / (60 + r + 1) as w from r1 where r < 50 union all select id, 0.6 / (60 + r + 1) from r2 where r < 50) select id, round(sum(w), 9) as score from u group by id""",
     "hybrid_outer": f"""with {BM25}, r1 as (select id, row_number() over (order by score desc, id) as r from bm), r2 as (select doc_id as id, row_number() over (order by n_chars desc nulls last, doc_id) as r from documents)
       select coalesce(a.id, b.id) as id, round(60 * (coalesce(0.4 / (60 + a.r), 0.0) + coalesce(0.6 / (60 + b.r), 0.0)), 6) as score from (select * from r1 where r <= 40) a full outer join (select * from r2 where r <= 40) b on a.id = b.id""",
-    "linear_fusion": f"with {BM25} select id, round(sum(s), 4) as score from (select id, 0.3 * score as s from bm union all select doc_id, 0.7 * least(n_chars / 10000.0, 1.0) from documents where n_chars is not null) u group by id",
+    "linear_fusion": f"with {BM25} select id, round(sum(s), 8) as score from (select id, 0.3 * score as s from bm union all select doc_id, 0.7 * least(n_chars / 10000.0, 1.0) from documents where n_chars is not null) u group by id",
     # retention and pruning
     "retention_facts": f"select f.id, {FACT_SCORE} as score from facts f left join {FACT_CAUSAL} c on c.k = f.id where f.is_active",
     "retention_episodes": f"select f.id, {EP_SCORE} as score from eps f left join {FACT_CAUSAL.replace(chr(39) + 'fact' + chr(39), chr(39) + 'episode' + chr(39))} c on c.k = f.id",
