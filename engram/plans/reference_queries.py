@@ -2,7 +2,7 @@
 
 Each is one declarative statement in the common part of Spark SQL and DuckDB SQL; the few functions that are
 named differently are written in capitals and translated per engine. Replayed rows count once throughout
-(``facts``, ``eps``, ``links`` are distinct rows), ties are broken by id, and time is an argument (AS_OF).
+(``facts``, ``eps``, ``links`` are distinct rows; a confidence outside 0..1, NaN included, is null), ties are broken by id, and time is an argument (AS_OF).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "timestamp '2025-12-01 00:00:00'"
 VIEWS = {
-    "facts": "select distinct id, agent_id, subject, predicate, object, confidence, first_seen, last_confirmed, user_affirmed, is_active, retracted_reason, access_count, created_at, updated_at from sheep_facts",
+    "facts": "select distinct id, agent_id, subject, predicate, object, case when confidence between 0 and 1 then confidence end as confidence, first_seen, last_confirmed, user_affirmed, is_active, retracted_reason, access_count, created_at, updated_at from sheep_facts",
     "eps": "select distinct id, agent_id, summary, topic, emotional_salience, utility_score, session_id, ttl, access_count, created_at, updated_at from sheep_episodes",
     "links": "select distinct id, agent_id, cause_type, cause_id, cause, effect_type, effect_id, effect, mechanism, confidence, strength, created_at from sheep_causal_links",
     "msgs": "select distinct agent_id, session_id, msg_id, seq, role, content from raw_messages",
