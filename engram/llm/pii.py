@@ -55,7 +55,7 @@ ID_BARE = re.compile(
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2})(?![\w\-])")
 STREETS = [re.compile(p, re.I) for p in (
     rf"(?<![\w\-.])\d{{1,5}}\s?[a-z]?\s+(?P<mid>(?:{W}\s+){{1,3}})(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|drive|court|square|terrace|close)\b\.?(?:,?\s+(?:apt|flat|unit|suite)\.?\s*\w+)?",
-    r"(?:\b(?:am|an der|auf der|im)\s+)?\b[^\W\d_][\w\-]{2,}(?:stra(?:ß|ss)e|str\.|str|gasse|platz|weg|allee|ring|ufer|damm)\s+\d{1,4}\s?[a-z]?\b(?:,\s*\d{5}\s+\w+)?",
+    r"(?:\b(?:am|an der|auf der|im)\s+)?\b[^\W\d_][\w\-]{1,}(?:stra(?:ß|ss)e|str\.|str|gasse|platz|weg|allee|ring|ufer|damm)\s+\d{1,4}\s?[a-z]?\b(?:,\s*\d{5}\s+\w+)?",
     rf"(?<![\w\-.])\d{{1,4}}\s*(?:bis|ter|quater)?,?\s*(?:rue|avenue|av\.|boulevard|bd|place|chemin|quai|impasse|all[ée]e|cours|route|square)\s+(?:de la |de l'|des |du |de |d')?{W}",
     rf"\b(?:calle|c/|plaza|avda\.?|avenida|paseo|camino|ronda)\s+(?:de (?:la |los |las )?|del )?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b(?:,\s*\d+[ºª°]\s*\w?)?",
     rf"\b(?:rua|r\.|av\.|avenida|travessa|pra[çc]a|largo|estrada|alameda)\s+(?:d[aeo]s?\s+)?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b",
