@@ -35,7 +35,7 @@ NOT_FAMILY = frozenset("""called asked said says told has had is was will would
 hat ist war wird will am ligou disse es era fue est a dun beni now about in im an to from with who wants likes sagte rief ist also
 bitte please not he she it we they bu o da de del la le der die das""".split())
 PLACES = frozenset("bakery museum street st road rd lane ave avenue blvd team club gmbh ltd inc school hospital hotel festival park square str strasse platz foundation university airport".split())
-STOP_STREET = frozenset("the to of when a an on in at and or hours minutes days questions for from is was were we i it".split())
+STOP_STREET = frozenset("first late too many open before after more longer than the to of when a an on in at and or hours minutes days questions for from is was were we i it".split())
 
 SAME_LENGTH = {c: " " for c in map(ord, "\u00a0\u2009\u202f\u200b\t")} | {ord(c): "-" for c in "–—‑−"} | {ord(c): "'" for c in "’ʼ"}
 W = r"[^\W\d_][\w'.\-]*"
@@ -54,14 +54,14 @@ ID_BARE = re.compile(
     r"(?<![\w.\-/+])(?P<v>\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}\.\d{3}\.\d{3}-[\dXx]|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-HJ-NP-TV-Z]|"
     r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2})(?![\w\-])")
 STREETS = [re.compile(p, re.I) for p in (
-    rf"(?<![\w\-.])\d{{1,5}}\s?[a-z]?\s+(?P<mid>(?:{W}\s+){{1,3}})(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|drive|court|square|terrace|close)\b\.?(?:,?\s+(?:apt|flat|unit|suite)\.?\s*\w+)?",
-    r"(?:\b(?:am|an der|auf der|im)\s+)?\b[^\W\d_][\w\-]{1,}(?:stra(?:ß|ss)e|str\.|str|gasse|platz|weg|allee|ring|ufer|damm)\s+\d{1,4}\s?[a-z]?\b(?:,\s*\d{5}\s+\w+)?",
-    rf"(?<![\w\-.])\d{{1,4}}\s*(?:bis|ter|quater)?,?\s*(?:rue|avenue|av\.|boulevard|bd|place|chemin|quai|impasse|all[ée]e|cours|route|square)\s+(?:de la |de l'|des |du |de |d')?{W}",
-    rf"\b(?:calle|c/|plaza|avda\.?|avenida|paseo|camino|ronda)\s+(?:de (?:la |los |las )?|del )?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b(?:,\s*\d+[ºª°]\s*\w?)?",
-    rf"\b(?:rua|r\.|av\.|avenida|travessa|pra[çc]a|largo|estrada|alameda)\s+(?:d[aeo]s?\s+)?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b",
-    rf"{W}\s+(?:mah(?:\.|allesi)\s+{W}\s+)?(?:sokak|soka[ğg][ıi]|sok\.|sk\.|cad\.|caddesi|bulvar[ıi])\s*(?:no\s*:?\s*)?\d{{1,4}}(?:/\d+)?",
+    rf"(?:(?:apt|flat|unit|suite)\.?\s*\w+,\s*)?(?<![\w\-.])\d{{1,5}}\s?[a-z]?\s+(?P<mid>(?:{W}\s+){{1,3}})(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|drive|court|square|sq|terrace|close|gardens|gdns|grove|crescent|cres|place|mews|row|parade|hill|quay|parkway|pkwy|highway|hwy)\b\.?(?:,?\s+(?:apt|flat|unit|suite)\.?\s*\w+)?",
+    r"(?:\b(?:am|an der|auf der|im)\s+)?\b[^\W\d_][\w\-]{1,}[ \-]?(?:stra(?:ß|ss)e|str\.|str|gasse|platz|weg|allee|ring|ufer|damm|steig|chaussee)\s+\d{1,4}\s?[a-z]?\b(?:,\s*\d{5}\s+\w+)?",
+    rf"(?<![\w\-.])\d{{1,4}}\s*(?:bis|ter|quater)?,?\s*(?:rue|avenue|av\.|boulevard|bd\.?|bld\.?|place|pl\.|chemin|ch\.|quai|impasse|imp\.|all[ée]e|cours|route|rte\.?|square|passage|faubourg|sentier)\s+(?:de la |de l'|des |du |de |d')?{W}",
+    rf"\b(?:calle|c/|c\.|plaza|pza\.|plza\.|avda\.?|avenida|av\.|paseo|camino|ronda|carretera|ctra\.|glorieta|travesía)\s*(?:de (?:la |los |las )?|del )?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b(?:,\s*\d+[ºª°]\s*\w?)?",
+    rf"\b(?:rua|r\.|av\.|avenida|travessa|tv\.|trav\.|pra[çc]a|largo|estrada|estr\.|alameda|al\.|beco|rodovia)\s+(?:d[aeo]s?\s+)?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b",
+    rf"{W}\s+(?:(?:mah(?:\.|allesi)|mh\.)\s+{W}\s+)?(?:sokak|soka[ğg][ıi]|sok\.|sk\.|cad\.|cd\.|caddesi|bulvar[ıi]|blv\.)\s*(?:no\s*:?\s*)?\d{{1,4}}(?:/\d+)?",
 )]
-STREET_HINT = re.compile(r"str|\bst\b|road|\brd\b|lane|\bave|avenue|blvd|boulevard|drive|court|square|gasse|platz|weg|allee|\brue\b|place|chemin|quai|calle|plaza|avda|avenida|paseo|camino|\brua\b|\bav\.|travessa|pra[çc]a|largo|estrada|alameda|soka|sok\.|cad", re.I)
+STREET_HINT = re.compile(r"str|\b(?:st|rd|ln|sq|row|hill|hwy)\b|road|lane|\bave|boulevard|bl?v?d\b|drive|court|square|terrace|close|gardens|gdns|grove|cres|mews|parade|quay|parkway|gasse|platz|weg|allee|ring |ufer|damm|steig|chaussee|\brue\b|pla[cz]|\bpl|pza|chemin|\bch\.|quai|impasse|\bimp\.|cours|route|rte|passage|faubourg|sentier|calle|\bc[/.]|avda|avenida|paseo|camino|ronda|c(?:arre)?t(?:e)?ra|glorieta|traves|\brua\b|\br\.|\bav\.|\btr?a?v\.|pra[çc]a|largo|estr|alameda|\bal\.|beco|rodovia|soka|s[o]?k\.|c[a]?d|bulvar|blv", re.I)
 PHONE = re.compile(
     r"(?<![\w.\-/+])(?:\+\d{1,3}[ \-.]{0,2}(?:\(\d{1,4}\)[ \-.]{0,2})?\d(?:[ \-./]{0,2}\d){5,12}"
     r"|00\d{2}[ \-.]{0,2}(?:\(\d{1,4}\)[ \-.]{0,2})?\d(?:[ \-./]{0,2}\d){5,12}"
@@ -74,6 +74,7 @@ WORD = re.compile(r"[^\W\d_][\w\u0300-\u036f]*")
 FAMILY = re.compile(r"\s{1,3}((?:[^\W\d_]\.\s{1,3})?)([^\W\d_][\w\u0300-\u036f'\-]+)")
 LAST_FIRST = re.compile(r"([^\W\d_][\w'\-]{2,}),\s{1,3}\Z")
 _FOLDED: dict[str, str] = {}
+_IS_GIVEN: dict[str, bool] = {}
 
 
 def fold(word: str) -> str:
@@ -86,6 +87,19 @@ def fold(word: str) -> str:
     return _FOLDED[word]
 
 
+def has_given(text: str) -> bool:
+    """Whether any word is a given name."""
+    for w in WORD.findall(text):
+        known = _IS_GIVEN.get(w)
+        if known is None:
+            if len(_IS_GIVEN) > 200_000:
+                _IS_GIVEN.clear()
+            known = _IS_GIVEN[w] = fold(w) in GIVEN
+        if known:
+            return True
+    return False
+
+
 def names(text: str) -> list[tuple[int, int]]:
     """Spans of given and family name together."""
     out, done = [], 0
@@ -139,7 +153,7 @@ def find(raw: str) -> list[tuple[int, int, str]]:
         for m in PHONE.finditer(text):
             if 7 <= sum(c.isdigit() for c in m[0]) <= 20 and not DATE.match(m[0]):
                 add(m.start(), m.end(), "phone")
-    for start, end in names(text):
+    for start, end in names(text) if has_given(text) else ():
         add(start, end, "person_name")
     return sorted(found)
 
