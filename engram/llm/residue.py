@@ -46,7 +46,25 @@ error unauthorized status
 error query parameter is required status
 error rate limited status
 error internal error status
+error status
+try again in a few minutes
+please try again later
 something went wrong
+etwas ist schiefgelaufen
+ein fehler ist aufgetreten
+zu viele anfragen
+wir führen wartungsarbeiten durch
+une erreur est survenue veuillez réessayer plus tard
+trop de requêtes
+service indisponible
+algo salió mal inténtalo más tarde
+demasiadas solicitudes
+servicio no disponible
+algo deu errado tente novamente mais tarde
+muitas solicitações
+serviço indisponível
+bir şeyler ters gitti
+çok fazla istek
 sorry we can't find that page
 we are down for maintenance back in minutes
 oops
