@@ -177,6 +177,41 @@ SQL = {
     "learning_throttle": "select event_id from (select event_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events) x where prev is null or MICROS(ts) - MICROS(prev) >= 1800000000",
     "sleep_decision": "with a as (select agent_id, count(*) as n, (MICROS(AS_OF) - MICROS(max(received_at))) / 3600000000.0 as idle from reqs group by agent_id) select agent_id, n > 50 or (idle > 1 and n > 10) or (idle > 6 and n > 5) or idle > 24 as due from a",
     "audit_chain": "with c as (select id, SHA(concat(id, '|', coalesce(predicate, '')))# as h from facts) select id, SHA(concat(coalesce(lag(h) over (order by id), ''), h))# as chained from c",
+    # second group: fusion variants, similarity, rules over whole texts
+    "intersection_join": "select id, count(*) as k, round(avg(s), 6) as score from (select id, 1.0 as s from facts where subject = 'user' union all select id, 0.8 from facts where predicate in ('likes', 'prefers', 'uses') union all select id, 0.5 from facts where confidence >= 0.5) u group by id having count(*) = 3",
+    "causal_contradictions": "select a.id as a_id, b.id as b_id from links a join links b on a.agent_id = b.agent_id and lower(a.cause) = lower(b.cause) and a.id < b.id where lower(a.effect) <> lower(b.effect) and MATCHES(lower(a.effect), 'not|never|no longer|stopped') <> MATCHES(lower(b.effect), 'not|never|no longer|stopped')",
+    "causal_search": """select id, case when STRPOS(lower(effect), 'kitchen plan') > 0 then 0.9 when STRPOS(lower(cause), 'kitchen plan') > 0 then 0.85 else 0.4 * ((case when STRPOS(lower(effect), 'kitchen') > 0 then 1 else 0 end) + (case when STRPOS(lower(effect), 'plan') > 0 then 1 else 0 end)) end as score from links
+      where STRPOS(lower(effect), 'kitchen') > 0 or STRPOS(lower(effect), 'plan') > 0 or STRPOS(lower(cause), 'kitchen plan') > 0""",
+    "tiered_search": f"with {BM25} select id, min(tier) as tier, round(max(score), 6) as score from (select id, 1 as tier, score from bm where score >= 0.3 union all select doc_id, 2, 0.01 from documents where STRPOS(lower(text), 'garden shed') > 0) u group by id",
+    "semantic_recall": f"""with {BM25}, fact_doc as (select f.id as fid, f.confidence from facts f where f.is_active and STRPOS(lower(f.object), 'garden') > 0), r as (select id, row_number() over (order by score desc, id) as r from bm)
+      select cast(id as varchar(40)) as id, round(1.0 / (60 + r), 6) as score from r where r <= 20 union all select fid, round(0.01 * (0.8 + 0.2 * coalesce(confidence, 0.0)), 6) from fact_doc""",
+    "vector_dot": f"with {VEC} select qid, vec_id, round((DOT(qe, embedding) + 1) / 2, 5) as dot_score from qv join embeddings on vec_id <> qid where DOT(qe, embedding) >= 0.3",
+    "vectors_by_label": f"with {VEC} select qid, label, round(avg(cosine), 5) as mean, count(*) as n from sim group by qid, label",
+    "relevant_labels": f"with {VEC}, c as (select qid, label, avg(cosine) as m from sim group by qid, label) select qid, label from (select *, row_number() over (partition by qid order by round(m, 9) desc, label) as rn from c) x where rn <= 3",
+    "similar_within_label": f"with {VEC}, me as (select vec_id as own, label as own_label from embeddings) select qid, count(*) as n from sim join me on me.own = sim.qid where label = own_label and cosine >= 0.1 group by qid",
+    "fact_patterns": "select msg_id, lower(regexp_extract(content, 'I prefer ([a-z]+ [a-z]+)', 1)) as object from msgs where MATCHES(content, 'I prefer [a-z]+ [a-z]+')",
+    "causal_patterns": "select msg_id, regexp_extract(content, 'We moved ([a-z ]+) because ([a-z ]+)', 1) as effect, regexp_extract(content, 'We moved ([a-z ]+) because ([a-z ]+)', 2) as cause from msgs where MATCHES(content, 'We moved [a-z ]+ because [a-z ]+')",
+    "procedure_patterns": "select msg_id, regexp_extract(content, 'When ([a-z ]+) fails, I ([a-z ]+)', 1) as trigger_text, regexp_extract(content, 'When ([a-z ]+) fails, I ([a-z ]+)', 2) as action from msgs where MATCHES(content, 'When [a-z ]+ fails, I [a-z ]+')",
+    "causal_confidence": "select id, round(least(1.0, greatest(0.1, 0.5 + (case when strength = 'direct' then 0.2 when strength = 'contributing' then 0.1 else 0 end) + (case when length(coalesce(mechanism, '')) > 0 then 0.15 else 0 end) - (case when length(cause) < 10 then 0.15 else 0 end))), 6) as confidence from links",
+    "fact_confidence": "select id, round(least(1.0, greatest(0.0, 0.5 + (case when predicate in ('has_name', 'works_at', 'lives_at') then 0.15 else 0 end) + (case when user_affirmed then 0.2 else 0.1 end) - (case when length(object) < 4 then 0.2 else 0 end))), 6) as confidence from facts",
+    "semantic_density": "with t as (select id, summary, SIZE(TOKENS(summary)) as n from eps where summary is not null) select id, round(least(1.0, 0.1 * (case when MATCHES(summary, '[0-9]') then 1 else 0 end) + 0.1 * (case when MATCHES(summary, '[0-9]{4}-[0-9]{2}') then 1 else 0 end) + 0.4 * least(n / 50.0, 1.0)), 6) as density from t",
+    "ttl_assignment": "select id, case when (emotional_salience + utility_score) / 2 > 0.8 then 'permanent' when (emotional_salience + utility_score) / 2 > 0.6 then '90d' when (emotional_salience + utility_score) / 2 > 0.4 then '30d' else '7d' end as ttl from eps where emotional_salience is not null and utility_score is not null",
+    "document_texts": "select id, concat_ws(' ', subject, replace(predicate, '_', ' '), object) as doc from facts union all select id, concat_ws(' ', cause, 'causes', effect) from links",
+    "temporal_phrases": "select request_id, case when MATCHES(lower(query_text), 'yesterday|gestern|hier|ayer') then MICROS(received_at - interval 1 day) when MATCHES(lower(query_text), 'last week') then MICROS(received_at - interval 7 day) else MICROS(received_at) end as range_start_us from reqs where query_text is not null",
+    "profile_stability": "select subject, predicate, count(*) as n, count(*) >= 3 and (MICROS(max(created_at)) - MICROS(min(created_at))) >= 604800000000 as stable from facts where is_active group by subject, predicate",
+    "low_quality_facts": "select id, case when length(TRIM(object)) < 3 then 'short' when lower(object) in ('it', 'this', 'that', 'something') then 'empty' when confidence < 0.3 then 'doubtful' else 'repeated' end as why from facts where length(TRIM(object)) < 3 or lower(object) in ('it', 'this', 'that', 'something') or confidence < 0.3 or lower(subject) = lower(object)",
+    "cleanup_actions": "with g as (select *, count(*) over (partition by lower(subject), lower(predicate)) as n, row_number() over (partition by lower(subject), lower(predicate) order by user_affirmed desc nulls last, confidence desc nulls last, length(object) desc, id) as rn from facts where is_active) select id from g where n > 1 and rn > 1 and confidence < 0.5 and not coalesce(user_affirmed, false)",
+    "predicate_success": "select predicate, round(sum(case when user_affirmed then 1 else 0 end) / cast(count(*) as double), 6) as success_rate, count(*) as used from facts group by predicate",
+    "one_sample_t": "with s as (select predicate, avg(confidence) as m, stddev_samp(confidence) as sd, count(confidence) as n from facts group by predicate) select predicate, round((m - 0.5) / (sd / sqrt(n)), 5) as t from s where n >= 5 and sd > 0",
+    "precision_by_tag": "select topic, round(sum(case when emotional_salience >= 0.5 and utility_score >= 0.5 then 1 else 0 end) / cast(greatest(sum(case when emotional_salience >= 0.5 then 1 else 0 end), 1) as double), 6) as prec, count(*) as n from eps group by topic",
+    "size_chunks": "select session_id, msg_id, floor((sum(length(coalesce(content, ''))) over (partition by session_id, agent_id order by seq, msg_id rows between unbounded preceding and current row) - 1) / 25000) as chunk from msgs where session_id is not null and session_id <> 'default'",
+    "weekly_activity": "select agent_id, MICROS(date_trunc('week', created_at)) as week_us, count(*) as n from eps group by 1, 2",
+    "forget_by_topic": "select 'fact' as kind, count(*) as n from facts where is_active and (STRPOS(lower(subject), 'project') > 0 or STRPOS(lower(object), 'project') > 0) union all select 'episode', count(*) from eps where STRPOS(lower(topic), 'project') > 0 or STRPOS(lower(summary), 'project') > 0",
+    "delete_before": "select 'fact' as kind, id from facts where created_at < timestamp '2024-03-01 00:00:00' union all select 'episode', id from eps where created_at < timestamp '2024-03-01 00:00:00'",
+    "fact_listing": "select id, count(*) over () as total from facts where is_active and predicate = 'likes' order by id limit 100",
+    "fuzzy_objects": "select a.id as a_id, b.id as b_id, case when lower(a.object) = lower(b.object) then 1.0 else 0.9 end as score from facts a join facts b on a.agent_id = b.agent_id and a.subject = b.subject and a.id < b.id where lower(a.object) = lower(b.object) or STRPOS(lower(a.object), lower(b.object)) > 0 or STRPOS(lower(b.object), lower(a.object)) > 0",
+    "trust_scores": "select agent_id, round(0.6 * least(count(*), 100) / 100.0 + 0.4 * avg(case when is_active then 1.0 else 0.0 end), 6) as trust from facts group by agent_id",
+    "order_status_as_of": "select o_custkey, max(o_orderkey) as last_order, MICROS(max(o_orderdate)) as at_us from orders where o_orderdate <= timestamp '1997-01-01 00:00:00' group by o_custkey",
 }
 TABLES = (*TABLES, "sheep_fact_snapshots")
 QUERIES = {name: _query(sql) for name, sql in SQL.items()}
