@@ -61,7 +61,12 @@ STREETS = [re.compile(p, re.I) for p in (
     rf"\b(?:rua|r\.|av\.|avenida|travessa|tv\.|trav\.|pra[çc]a|largo|estrada|estr\.|alameda|al\.|beco|rodovia)\s+(?:d[aeo]s?\s+)?{W}(?:\s+{W})?,?\s+(?:n\.?[ºo°]\s*)?\d{{1,4}}\b",
     rf"{W}\s+(?:(?:mah(?:\.|allesi)|mh\.)\s+{W}\s+)?(?:sokak|soka[ğg][ıi]|sok\.|sk\.|cad\.|cd\.|caddesi|bulvar[ıi]|blv\.)\s*(?:no\s*:?\s*)?\d{{1,4}}(?:/\d+)?",
 )]
-STREET_HINT = re.compile(r"str|\b(?:st|rd|ln|sq|row|hill|hwy)\b|road|lane|\bave|boulevard|bl?v?d\b|drive|court|square|terrace|close|gardens|gdns|grove|cres|mews|parade|quay|parkway|gasse|platz|weg|allee|ring |ufer|damm|steig|chaussee|\brue\b|pla[cz]|\bpl|pza|chemin|\bch\.|quai|impasse|\bimp\.|cours|route|rte|passage|faubourg|sentier|calle|\bc[/.]|avda|avenida|paseo|camino|ronda|c(?:arre)?t(?:e)?ra|glorieta|traves|\brua\b|\br\.|\bav\.|\btr?a?v\.|pra[çc]a|largo|estr|alameda|\bal\.|beco|rodovia|soka|s[o]?k\.|c[a]?d|bulvar|blv", re.I)
+#: What a text must contain for the street patterns that start with any word.
+GERMAN = re.compile(r"(?:stra(?:ß|ss)e|str\.?|gasse|platz|weg|allee|ring|ufer|damm|steig|chaussee)\s+\d", re.I)
+TURKISH = re.compile(r"(?:sokak|soka[ğg][ıi]|sok\.|sk\.|cad\.|cd\.|caddesi|bulvar[ıi]|blv\.)\s*(?:no\s*:?\s*)?\d", re.I)
+GATES = (None, GERMAN, None, None, None, TURKISH)
+#: Five digits close together, as every phone and id number has.
+DIGITS = re.compile(r"\d(?:[^\d\n]{0,4}\d){4}")
 PHONE = re.compile(
     r"(?<![\w.\-/+])(?:\+\d{1,3}[ \-.]{0,2}(?:\(\d{1,4}\)[ \-.]{0,2})?\d(?:[ \-./]{0,2}\d){5,12}"
     r"|00\d{2}[ \-.]{0,2}(?:\(\d{1,4}\)[ \-.]{0,2})?\d(?:[ \-./]{0,2}\d){5,12}"
@@ -69,6 +74,7 @@ PHONE = re.compile(
     r"|(?:1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}"
     r"|0\d{1,4}[ /.\-]{0,2}\d(?:[ \-./]{0,2}\d){5,9}"
     r"|[679]\d{2}[ \-]{0,2}\d{3}[ \-]{0,2}\d{3})(?:\s*(?:ext\.?|x)\s*\d{1,5})?(?![\w\-/]|[.,]\d)")
+DIGIT = re.compile(r"\d")
 DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}")
 WORD = re.compile(r"[^\W\d_][\w\u0300-\u036f]*")
 FAMILY = re.compile(r"\s{1,3}((?:[^\W\d_]\.\s{1,3})?)([^\W\d_][\w\u0300-\u036f'\-]+)")
@@ -137,19 +143,23 @@ def find(raw: str) -> list[tuple[int, int, str]]:
         if all(end <= a or start >= b for a, b, _ in found):
             found.append((start, end, kind))
 
-    if "@" in text or "at" in text or "AT" in text:
+    low = text.lower()
+    if "@" in text or "(at)" in low or "[at]" in low or " dot " in low:
         for m in EMAIL.finditer(text):
             add(m.start(), m.end(), "email")
-    if any("0" <= c <= "9" for c in text):
+    numbers = DIGITS.search(text)
+    if numbers:
         for pattern in (ID_KEYED, ID_BARE):
             for m in pattern.finditer(text):
                 if sum(c.isdigit() for c in m["v"]) >= 5:
                     add(m.start("v"), m.end("v"), "id_number")
-        if STREET_HINT.search(text):
-            for pattern in STREETS:
+    if numbers or DIGIT.search(text):
+        for gate, pattern in zip(GATES, STREETS):
+            if gate is None or gate.search(text):
                 for m in pattern.finditer(text):
                     if not (m.groupdict().get("mid") and STOP_STREET & set(m["mid"].lower().split())):
                         add(m.start(), m.end(), "street_address")
+    if numbers:
         for m in PHONE.finditer(text):
             if 7 <= sum(c.isdigit() for c in m[0]) <= 20 and not DATE.match(m[0]):
                 add(m.start(), m.end(), "phone")
