@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[a-z0-9_]{3,}")
@@ -38,6 +38,23 @@ def segment(messages: DataFrame, period: str = "day", longest: int = 20, overlap
     return keyed.groupBy("session", "agent", "_p").applyInPandas(fold, "session string, msg_id string, segment string")
 
 
+def size_chunks(messages: DataFrame, most: int = 25000, block: int = 64) -> DataFrame:
+    """(session_id, msg_id, chunk) of distinct messages (agent_id, session_id, msg_id, seq, content).
+
+    Running length per session and agent in the order (seq, msg_id), cut every ``most`` characters. The sum has two
+    levels, within blocks of ``block`` sequence numbers and over the blocks, so a hot session is spread over tasks
+    (rows of one sequence number stay together). Messages without session form one group per agent, those without
+    seq come first.
+    """
+    key = ["session_id", "agent_id", "_b"]
+    sized = messages.select("agent_id", "session_id", "msg_id", "seq", F.length(F.coalesce("content", F.lit(""))).alias("_n"), F.floor(F.col("seq") / block).alias("_b"))
+    before = F.sum("_sum").over(Window.partitionBy(*key[:2]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sized.groupBy(*key).agg(F.sum("_n").alias("_sum")).select(*[F.col(c).alias(f"o{c}") for c in key], F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.sum("_n").over(Window.partitionBy(*key).orderBy("seq", "msg_id").rowsBetween(Window.unboundedPreceding, 0))
+    same = [F.col(c).eqNullSafe(F.col(f"o{c}")) for c in key]
+    return sized.withColumn("_within", within).join(offsets, same).select("session_id", "msg_id", F.floor((F.col("_before") + F.col("_within") - 1) / most).alias("chunk"))
+
+
 def leader_clusters(vectors: DataFrame, least: float = 0.7, most: int = 100) -> DataFrame:
     """(block, id, cluster) of vectors (block, id, embedding): the nearest centroid of cosine ``least`` takes a
     vector and moves by the running mean, else it opens a cluster; beyond ``most`` the closest pair merges."""

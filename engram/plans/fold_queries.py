@@ -23,8 +23,12 @@ def fact_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.upsert(table(spark, sf_dir, "sheep_facts").select("id", "subject", "predicate", "object", F.col("created_at").cast("timestamp").alias("at")).distinct())
 
 
+def size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.size_chunks(table(spark, sf_dir, "raw_messages").select("agent_id", "session_id", "msg_id", "seq", "role", "content").distinct())
+
+
 def user_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.export_rows(*[table(spark, sf_dir, t) for t in ("sheep_facts", "sheep_episodes", "sheep_causal_links")]).distinct()
 
 
-QUERIES = {"episode_segments": episode_segments, "embedding_clusters": embedding_clusters, "fact_upserts": fact_upserts, "user_export": user_export}
+QUERIES = {"episode_segments": episode_segments, "embedding_clusters": embedding_clusters, "fact_upserts": fact_upserts, "size_chunks": size_chunks, "user_export": user_export}

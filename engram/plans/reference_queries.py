@@ -204,7 +204,7 @@ SQL = {
     "predicate_success": "select predicate, round(sum(case when user_affirmed then 1 else 0 end) / cast(count(*) as double), 6) as success_rate, count(*) as used from facts group by predicate",
     "one_sample_t": "with s as (select predicate, avg(confidence) as m, stddev_samp(confidence) as sd, count(confidence) as n from facts group by predicate) select predicate, round((m - 0.5) / (sd / sqrt(n)), 5) as t from s where n >= 5 and sd > 0",
     "precision_by_tag": "select topic, round(sum(case when emotional_salience >= 0.5 and utility_score >= 0.5 then 1 else 0 end) / cast(greatest(sum(case when emotional_salience >= 0.5 then 1 else 0 end), 1) as double), 6) as prec, count(*) as n from eps group by topic",
-    "size_chunks": "select session_id, msg_id, floor((sum(length(coalesce(content, ''))) over (partition by session_id, agent_id order by seq, msg_id rows between unbounded preceding and current row) - 1) / 25000) as chunk from msgs where session_id is not null and session_id <> 'default'",
+    "size_chunks": "select session_id, msg_id, floor((sum(length(coalesce(content, ''))) over (partition by session_id, agent_id order by seq, msg_id rows between unbounded preceding and current row) - 1) / 25000) as chunk from msgs",
     "weekly_activity": "select agent_id, MICROS(date_trunc('week', created_at)) as week_us, count(*) as n from eps group by 1, 2",
     "forget_by_topic": "select 'fact' as kind, count(*) as n from facts where is_active and (STRPOS(lower(subject), 'project') > 0 or STRPOS(lower(object), 'project') > 0) union all select 'episode', count(*) from eps where STRPOS(lower(topic), 'project') > 0 or STRPOS(lower(summary), 'project') > 0",
     "delete_before": "select 'fact' as kind, id from facts where created_at < timestamp '2024-03-01 00:00:00' union all select 'episode', id from eps where created_at < timestamp '2024-03-01 00:00:00'",
