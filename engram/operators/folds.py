@@ -12,6 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from engram.session import cut
 
 WORDS = re.compile(r"[a-z0-9_]{3,}")
 
@@ -110,25 +113,81 @@ def similarity(a: tuple, b: tuple) -> float:
     return sum(w * one(x, y) for w, x, y in zip((0.2, 0.3, 0.5), a, b))
 
 
+#: Lengths of the pieces by which a text is found in longer ones; each is at least half of the texts it stands for, up to 40.
+PIECES = (1, 3, 6, 12, 20)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: sorted(set(x.split())))
+
+
+@F.pandas_udf(DoubleType())
+def field_similarity(p1: pd.Series, o1: pd.Series, p2: pd.Series, o2: pd.Series) -> pd.Series:
+    return pd.Series([similarity(("", a, b), ("", c, d)) for a, b, c, d in zip(p1, o1, p2, o2)], dtype=float)
+
+
+def _by_tokens(facts: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of one subject whose objects' tokens have a Jaccard similarity of ``share``, among others.
+
+    Prefix filter: of n tokens, the rarest of the subject first, one of the first n - ceil(share n) + 1 is common.
+    """
+    words = facts.select("id", "s", tokens("o").alias("w")).select("id", "s", F.size("w").alias("n"), F.explode("w").alias("w"))
+    ranked = words.join(words.groupBy("s", "w").count(), ["s", "w"])
+    order = F.row_number().over(Window.partitionBy("id").orderBy("count", "w"))
+    keys = ranked.withColumn("r", order).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select(F.xxhash64("s", "w").alias("k"), "id", "n")
+    other = keys.select("k", F.col("id").alias("b"), F.col("n").alias("m"))
+    near = (F.col("n") >= F.col("m") * share - 1e-9) & (F.col("m") >= F.col("n") * share - 1e-9)
+    return keys.join(other, "k").where(near & (F.col("id") < F.col("b"))).select(F.col("id").alias("a"), "b")
+
+
+def _by_containment(facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one subject, the object of a in that of b or equal, among others: a is known by its beginning, b by all its pieces."""
+    n, q = F.length("o"), F.lit(0)
+    for x in PIECES:
+        q = F.when(n >= x, x).otherwise(q)
+    short = facts.where(n > 0).select(F.xxhash64("s", q.alias("q"), F.substr("o", F.lit(1), q)).alias("k"), F.col("id").alias("a"))
+    pieces = lambda x: F.when(n >= x, F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: F.xxhash64("s", F.lit(x), F.substr("o", i, F.lit(x)))))
+    whole = facts.where(n > 0).select("id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[pieces(x) for x in PIECES]))))).alias("k"))
+    pairs = short.join(whole, "k").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b"))
+    empty = facts.where(n == 0).select("s", F.col("id").alias("a"))
+    return pairs.union(empty.join(facts.select("s", F.col("id").alias("b")), "s").where(F.col("a") != F.col("b")).select("a", "b"))
+
+
+def similar_pairs(facts: DataFrame, least: float = 0.9) -> DataFrame:
+    """(s, early, late, early_at, late_at) of all pairs of similarity ``least`` in facts (id, s, p, o, at) of equal subject s.
+
+    With equal subjects the objects' similarity must reach (least - 0.5) / 0.5, so each pair shares tokens or one
+    object holds the other; candidates of both kinds are judged by ``similarity`` itself.
+    """
+    found = _by_tokens(facts, (least - 0.5) / 0.5).union(_by_containment(facts))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: facts.select(*[F.col(c).alias(f"{x}_{c}") for c in ("s", "p", "o", "at")], F.col("id").alias(x))
+    both = found.join(side("a"), "a").join(side("b"), "b").where(F.col("a_s") == F.col("b_s"))
+    pairs = both.where(field_similarity("a_p", "a_o", "b_p", "b_o") >= least)
+    first = F.coalesce(F.struct("a_at", "a") < F.struct("b_at", "b"), F.lit(True))
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return pairs.select(F.col("a_s").alias("s"), pick("a", "b").alias("early"), pick("b", "a").alias("late"), pick("a_at", "b_at").alias("early_at"), pick("b_at", "a_at").alias("late_at"))
+
+
 def upsert(facts: DataFrame, least: float = 0.9) -> DataFrame:
     """(id, kept_id) of facts (id, subject, predicate, object, at): which earlier fact absorbs each one.
 
-    Exact copies are merged before; the fold then runs per subject, predicate and first letter of the object.
+    Exact copies are merged before. Of the others, in the order (at, id), each is absorbed by the first kept fact of its
+    subject that is similar; only facts that are similar to another one meet in the fold, so what a task holds
+    is the similar pairs of one subject. Null fields count as empty; an empty field is contained in all.
     """
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for r in pdf.sort_values(["at", "id"]).itertuples():
-            t = (r.s, r.p, r.o)
-            hit = next((k for k, u in kept if similarity(t, u) >= least), None)
-            if hit is None:
-                kept.append((r.id, t))
-            out.append((r.id, hit or r.id))
-        return pd.DataFrame(out, columns=["id", "kept_id"])
+        gone: dict[str, str] = {}
+        for r in pdf.sort_values(["late_at", "late", "early_at", "early"], na_position="first").itertuples():
+            if r.late not in gone and r.early not in gone:
+                gone[r.late] = r.early
+        return pd.DataFrame(list(gone.items()), columns=["id", "kept_id"])
 
     norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     keyed = facts.select("id", "at", *[norm(F.col(c)).alias(c[0]) for c in ("subject", "predicate", "object")])
-    first = keyed.groupBy("s", "p", "o").agg(F.min(F.struct("at", "id")).alias("f")).select("s", "p", "o", F.col("f.at").alias("at"), F.col("f.id").alias("id"))
-    folded = first.groupBy("s", "p", F.substring("o", 1, 1).alias("b")).applyInPandas(fold, "id string, kept_id string")
-    lead = first.join(folded, "id").select("s", "p", "o", "kept_id")
+    first = cut(keyed.groupBy("s", "p", "o").agg(F.min(F.struct("at", "id")).alias("f")).select("s", "p", "o", F.col("f.at").alias("at"), F.col("f.id").alias("id")))
+    folded = similar_pairs(first, least).groupBy("s").applyInPandas(fold, "id string, kept_id string")
+    lead = first.join(folded, "id", "left").select("s", "p", "o", F.coalesce("kept_id", "id").alias("kept_id"))
     return keyed.join(lead, ["s", "p", "o"]).select("id", "kept_id").distinct()

@@ -1,5 +1,7 @@
 """Operators that once left out part of their rows, against plain Python over all of them."""
 
+import random
+from datetime import datetime, timedelta
 from itertools import groupby
 
 from engram.operators import folds
@@ -15,3 +17,33 @@ def test_size_chunks_hold_every_message(spark):
             want.add((s, r[2], (total - 1) // 2500))
     got = folds.size_chunks(spark.createDataFrame(rows, "agent_id string, session_id string, msg_id string, seq int, content string").repartition(5), 2500, 16).collect()
     assert len(got) == len(rows) and {(r["session_id"], r["msg_id"], r["chunk"]) for r in got} == want
+
+
+def upserts_by_force(rows):
+    """Each fact against every kept one of its subject, in order."""
+    norm = lambda x: (x or "").strip(" ").lower()
+    kept, out = [], set()
+    for i, s, p, o, _ in sorted(rows, key=lambda r: (r[4], r[0])):
+        t = (norm(s), norm(p), norm(o))
+        hit = next((k for k, u in kept if u == t), None) or next((k for k, u in kept if u[0] == t[0] and folds.similarity(t, u) >= 0.9), None)
+        if hit is None:
+            kept.append((i, t))
+        out.add((i, hit or i))
+    return out
+
+
+def test_upserts_across_predicates_and_beginnings(spark):
+    rng = random.Random(5)
+    words = ["red", "car", "lake", "museum", "tram", "of", "Île", "54", "the", "week"]
+    spoil = [lambda x: x, lambda x: x + "–", lambda x: "- " + x, lambda x: '"' + x, lambda x: x[1:], lambda x: x.upper(), lambda x: x + " new", lambda x: " ".join(reversed(x.split(" "))), lambda x: x.replace(" ", "\t", 1), lambda x: ""]
+    base = [" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 5, 6, 9, 12]))) for _ in range(40)]
+    rows = [(f"f{k:04}", rng.choice(["user", "User ", "Ann"]), rng.choice(["works_at", "works_at–", "likes", "is part of", "part of is", "- likes"]), rng.choice(spoil[:9] * 6 + spoil[9:])(rng.choice(base)), datetime(2025, 1, 1) + timedelta(hours=rng.randrange(300))) for k in range(700)]
+    got = {(r["id"], r["kept_id"]) for r in folds.upsert(spark.createDataFrame(rows, "id string, subject string, predicate string, object string, at timestamp")).collect()}
+    assert got == upserts_by_force(rows) and len({k for _, k in got}) < 500
+
+
+def test_upserts_of_the_finding(spark):
+    at = datetime(2025, 1, 1)
+    rows = [("1", "u", "works_at", "Borezakos Bakery", at), ("2", "u", "works_at–", "Borezakos Bakery", at), ("3", "u", "works_at", '"Borezakos Bakery', at), ("4", "u", "works_at", "- Borezakos Bakery", at), ("5", "v", "works_at", "Borezakos Bakery", at)]
+    got = {r["id"]: r["kept_id"] for r in folds.upsert(spark.createDataFrame(rows, "id string, subject string, predicate string, object string, at timestamp")).collect()}
+    assert got == {"1": "1", "2": "1", "3": "1", "4": "1", "5": "5"}
