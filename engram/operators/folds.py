@@ -7,6 +7,7 @@ Each fold runs per key in the order (time, id) given by its arguments. Keys that
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,44 +60,62 @@ def size_chunks(messages: DataFrame, most: int = 25000, block: int = 64) -> Data
 
 
 def leader_clusters(vectors: DataFrame, least: float = 0.7, most: int = 100) -> DataFrame:
-    """(block, id, cluster) of vectors (block, id, embedding): the nearest centroid of cosine ``least`` takes a
-    vector and moves by the running mean, else it opens a cluster; beyond ``most`` the closest pair merges."""
+    """(id, cluster) of vectors (id, embedding), one fold over all of them in the order of id: the nearest centroid of
+    cosine ``least`` takes a vector and moves by the running mean, else it opens a cluster; from ``most`` on the closest
+    pair merges before. Vectors of different lengths never meet, a null or empty one has a cluster of its own.
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        centroids, sizes, where = [], [], {}
-        names: list[int] = []
-        fresh = 0
-        for r in pdf.sort_values("id").itertuples():
-            v = np.asarray(r.embedding, float) if r.embedding is not None else np.zeros(0)
-            norm = np.linalg.norm(v)
-            if norm and centroids:
-                m = np.array(centroids)
-                sims = m @ v / (np.linalg.norm(m, axis=1) * norm + 1e-12)
-                j = int(sims.argmax())
-                if sims[j] >= least:
+    The order makes it one task; rows stream through it, so it holds the centroids and a number per merged cluster.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, sizes, names, into, fresh = [], [], [], {}, 0
+
+        def cosines(v: np.ndarray) -> np.ndarray:
+            same = [k for k, c in enumerate(centroids) if len(c) == len(v)]
+            out = np.full(len(centroids), -1.0)
+            if same:
+                m = np.array([centroids[k] for k in same])
+                out[same] = m @ v / (np.linalg.norm(m, axis=1) * np.linalg.norm(v) + 1e-12)
+            return out
+
+        for pdf in batches:
+            got = []
+            for x in pdf["embedding"]:
+                v = np.asarray([] if x is None else x, float)
+                sims = cosines(v) if len(v) else np.zeros(0)
+                if len(sims) and sims.max() >= least:
+                    j = int(sims.argmax())
                     centroids[j] = (centroids[j] * sizes[j] + v) / (sizes[j] + 1)
                     sizes[j] += 1
-                    where[r.id] = names[j]
+                    got.append(names[j])
                     continue
-            if norm:
-                if len(centroids) >= most:
-                    m = np.array(centroids)
-                    u = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-12)
-                    s = u @ u.T - 3 * np.eye(len(u))
-                    a, b = sorted(divmod(int(s.argmax()), len(u)))
-                    centroids[a] = (centroids[a] * sizes[a] + centroids[b] * sizes[b]) / (sizes[a] + sizes[b])
-                    sizes[a] += sizes[b]
-                    where = {k: names[a] if c == names[b] else c for k, c in where.items()}
-                    for x in (centroids, sizes, names):
-                        x.pop(b)
-                centroids.append(v)
-                sizes.append(1)
-                names.append(fresh)
-            where[r.id] = fresh
-            fresh += 1
-        return pd.DataFrame([(key[0], k, c) for k, c in where.items()], columns=["block", "id", "cluster"])
-
-    return vectors.groupBy("block").applyInPandas(fold, "block int, id bigint, cluster int")
+                if len(v) and len(centroids) >= most:
+                    pair = np.full((len(centroids), len(centroids)), -1.0)
+                    for n in {len(c) for c in centroids} - {0}:
+                        same = [k for k, c in enumerate(centroids) if len(c) == n]
+                        u = np.array([centroids[k] for k in same])
+                        u /= np.linalg.norm(u, axis=1, keepdims=True) + 1e-12
+                        pair[np.ix_(same, same)] = np.where(np.tri(len(u), dtype=bool), -1.0, u @ u.T)
+                    a, b = divmod(int(pair.argmax()), len(centroids))
+                    if pair[a, b] > -1:
+                        centroids[a] = (centroids[a] * sizes[a] + centroids[b] * sizes[b]) / (sizes[a] + sizes[b])
+                        sizes[a] += sizes[b]
+                        into[names[b]] = names[a]
+                        for y in (centroids, sizes, names):
+                            y.pop(b)
+                for y, z in ((centroids, v), (sizes, 1), (names, fresh)):
+                    y.append(z)
+                got.append(fresh)
+                fresh += 1
+            yield pd.DataFrame({"id": pdf["id"], "_first": pd.Series(got, dtype="int64", index=pdf.index), "_last": None})
+        for x in sorted(into):  # a cluster merges into an older one, whose last name is known
+            into[x] = into.get(into[x], into[x])
+        yield pd.DataFrame({"id": None, "_first": pd.Series(list(into), dtype="int64"), "_last": pd.Series(list(into.values()), dtype="int64")})
+
+    ordered = vectors.select("id", "embedding").repartition(1).sortWithinPartitions("id")
+    folded = cut(ordered.mapInPandas(fold, "id bigint, _first bigint, _last bigint"))
+    merged = folded.where(F.col("_last").isNotNull()).select("_first", "_last")
+    return folded.where(F.col("_last").isNull()).select("id", "_first").join(merged, "_first", "left").select("id", F.coalesce("_last", "_first").cast("int").alias("cluster"))
 
 
 def similarity(a: tuple, b: tuple) -> float:

@@ -16,7 +16,7 @@ def episode_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.leader_clusters(table(spark, sf_dir, "embeddings").select(F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("block"), F.col("vec_id").alias("id"), "embedding"), 0.2)
+    return folds.leader_clusters(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
 def fact_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:

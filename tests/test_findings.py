@@ -1,8 +1,9 @@
 """Operators that once left out part of their rows, against plain Python over all of them."""
 
+import math
 import random
 from datetime import datetime, timedelta
-from itertools import groupby
+from itertools import combinations, groupby
 
 from engram.operators import folds
 
@@ -47,3 +48,40 @@ def test_upserts_of_the_finding(spark):
     rows = [("1", "u", "works_at", "Borezakos Bakery", at), ("2", "u", "works_at–", "Borezakos Bakery", at), ("3", "u", "works_at", '"Borezakos Bakery', at), ("4", "u", "works_at", "- Borezakos Bakery", at), ("5", "v", "works_at", "Borezakos Bakery", at)]
     got = {r["id"]: r["kept_id"] for r in folds.upsert(spark.createDataFrame(rows, "id string, subject string, predicate string, object string, at timestamp")).collect()}
     assert got == {"1": "1", "2": "1", "3": "1", "4": "1", "5": "5"}
+
+
+def clusters_by_force(vectors, least, most):
+    """The reference's loop over all vectors, in plain Python."""
+    def cosine(a, b):
+        if len(a) != len(b) or not a:
+            return -1.0
+        return sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) + 1e-12)
+
+    clusters = []
+    for i, v in vectors:
+        best = max(clusters, key=lambda c: cosine(v, c[0]), default=None) if v else None
+        if best and cosine(v, best[0]) >= least:
+            n = len(best[1])
+            best[0] = [(x * n + y) / (n + 1) for x, y in zip(best[0], v)]
+            best[1].append(i)
+            continue
+        if v and len(clusters) >= most:
+            a, b = max(combinations(clusters, 2), key=lambda p: cosine(p[0][0], p[1][0]))
+            m, n = len(a[1]), len(b[1])
+            a[0], a[1] = [(x * m + y * n) / (m + n) for x, y in zip(a[0], b[0])], a[1] + b[1]
+            clusters.remove(b)
+        clusters.append([v or [], [i]])
+    return {frozenset(c[1]) for c in clusters}
+
+
+def test_clusters_are_one_fold_over_all_vectors(spark):
+    rng = random.Random(3)
+    middle = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(25)]
+    vectors = [(i, [x + rng.gauss(0, 0.35) for x in rng.choice(middle)]) for i in range(300)] + [(300, None), (301, []), (302, [1.0, 0.0]), (303, [1.0, 0.1])]
+    df = spark.createDataFrame(vectors, "id bigint, embedding array<double>").repartition(6)
+    for least, most in ((0.7, 100), (0.9, 20)):
+        got = {}
+        for r in folds.leader_clusters(df, least, most).collect():
+            got.setdefault(r["cluster"], set()).add(r["id"])
+        assert {frozenset(x) for x in got.values()} == clusters_by_force(vectors, least, most)
+        assert len(got) <= most + 2
