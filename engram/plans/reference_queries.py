@@ -24,6 +24,20 @@ TABLES = ("agents", "raw_messages", "sheep_episodes", "sheep_facts", "sheep_caus
 SPARK = {"MICROS": "unix_micros", "MATCHES": "regexp_like", "UNNEST": "explode", "SIZE": "size", "SHA": "sha2", "SHA_END": ", 256)", "STRPOS": "instr"}
 DUCK = {"MICROS": "epoch_us", "MATCHES": "regexp_matches", "UNNEST": "unnest", "SIZE": "len", "SHA": "sha256", "SHA_END": ")", "STRPOS": "strpos"}
 
+#: Capitalised words that are no names (template-extractor.ts).
+COMMON = "the and for are but not you all can her was one our out day get has him his how its may new now old see two way who boy did man try use she many some time very when come here just like long make over such take than them well were".split()
+
+
+def _normalised(col: str, duck: bool) -> str:
+    """A text as part of a template's signature: without addresses, phone numbers, links and names, lower case, other signs as '_'."""
+    text, r, g = f"coalesce({col}, '')", "" if duck else "r", ", 'g'" if duck else ""
+    for pattern, kind in ((r"\b[\w.-]+@[\w.-]+\.\w+\b", "email"), (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "phone"), (r"https?://[^\s]+", "url")):
+        text = f"regexp_replace({text}, {r}'{pattern}', '[{kind}]'{g})"
+    common = ", ".join(f"'{w}'" for w in COMMON)
+    word = f"case when length(w) >= 3 and not (w like '[%]') and substring(w, 1, 1) = upper(substring(w, 1, 1)) and lower(w) not in ({common}) then '[name]' else w end"
+    words = f"array_to_string(list_transform(string_split_regex({text}, '\\s+'), lambda w: {word}), ' ')" if duck else f"array_join(transform(split({text}, r'\\s+'), w -> {word}), ' ')"
+    return f"regexp_replace(lower({words}), '[^a-z0-9]', '_'{g})"
+
 
 def _translate(sql: str, names: dict[str, str], duck: bool) -> str:
     g = ", 'g'" if duck else ""
@@ -34,6 +48,7 @@ def _translate(sql: str, names: dict[str, str], duck: bool) -> str:
     dot = "list_sum(list_transform(list_zip(\\1, \\2), lambda z: z[1]::double * z[2]::double))" if duck else "aggregate(zip_with(\\1, \\2, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x)"
     sql = re.sub(r"DOT\(([\w.]+), ([\w.]+)\)", dot, sql)
     sql = re.sub(r"TRIM\((\w+)\)", rf"regexp_replace(\1, '^[ ]+|[ ]+$', ''{g})", sql)
+    sql = re.sub(r"NORMALISED\((\w+)\)", lambda m: _normalised(m[1], duck), sql)
     # Decimal literals are doubles in both engines.
     sql = re.sub(r"(?<![\w.])\d+\.\d+(?![\w.])", r"\g<0>e0", sql)
     for k in ("MICROS", "MATCHES", "UNNEST", "SIZE", "STRPOS"):
@@ -108,7 +123,7 @@ SQL = {
     "exact_upsert": "select lower(TRIM(subject)) as s, lower(TRIM(predicate)) as p, lower(TRIM(object)) as o, max(confidence) as confidence, count(*) as n from facts group by 1, 2, 3",
     "single_valued": """with best as (select *, row_number() over (partition by subject, predicate, object order by confidence desc nulls last, id) as r1 from facts where predicate in ('works_at', 'lives_at', 'has_name', 'married_to'))
       select subject, predicate, object, id from (select *, row_number() over (partition by subject, predicate order by confidence desc nulls last, created_at, id) as r2 from best where r1 = 1) x where r2 = 1""",
-    "template_mining": "with s as (select lower(regexp_replace(substring(effect, 1, 12), '[^A-Za-z ]', '')) as sig, confidence from links where confidence is not null) select sig, count(*) as n, round(avg(confidence), 6) as mean from s group by sig having count(*) >= 2 and avg(confidence) >= 0.6",
+    "template_mining": "with s as (select concat(NORMALISED(cause), '→', NORMALISED(effect), '→', NORMALISED(mechanism)) as sig, confidence from links where confidence is not null) select sig, count(*) as n, round(avg(confidence), 6) as mean from s group by sig having count(*) >= 2 and avg(confidence) >= 0.6",
     "confidence_distribution": "select case when confidence >= 0.9 then 'high' when confidence >= 0.7 then 'good' when confidence >= 0.5 then 'medium' when confidence is null then 'none' else 'low' end as bucket, count(*) as n from facts group by 1",
     "memory_limits": "select 'episodes' as kind, count(*) as n, count(*) > 10000 as over_limit from eps union all select 'facts', count(*), count(*) > 50000 from facts where is_active union all select 'links', count(*), count(*) > 10000 from links",
     "entity_keyword_index": "with w as (select subject, UNNEST(TOKENS(object)) as word from facts where lower(subject) <> 'user') select subject, word, count(*) as n from w where length(word) > 3 group by subject, word",

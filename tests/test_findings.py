@@ -85,3 +85,15 @@ def test_clusters_are_one_fold_over_all_vectors(spark):
             got.setdefault(r["cluster"], set()).add(r["id"])
         assert {frozenset(x) for x in got.values()} == clusters_by_force(vectors, least, most)
         assert len(got) <= most + 2
+
+
+def test_template_signatures_take_the_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    at = datetime(2025, 1, 1)
+    texts = [("the boat is late", "plans around the boat changed", None)] * 2 + [("the boat is late", "plans around the train changed", "ask Anna at a.b@c.org"), ("The boat is late", "plans around the train changed", "ask Berta at d@e.org"), ("the boat is late", "plans around the lake changed", "x")]
+    texts += [("low", "plans around", "1"), ("low", "plans around", "1")]
+    rows = [(f"l{i}", "a", "fact", "f", c, "fact", "g", e, m, 0.5 if c == "low" else 0.8, "direct", at) for i, (c, e, m) in enumerate(texts)]
+    spark.createDataFrame(rows, "id string, agent_id string, cause_type string, cause_id string, cause string, effect_type string, effect_id string, effect string, mechanism string, confidence double, strength string, created_at timestamp").write.parquet(f"{tmp_path}/sheep_causal_links.parquet")
+    got = {r["sig"]: r["n"] for r in entry.queries()["template_mining"](spark, str(tmp_path)).collect()}
+    assert got == {"the_boat_is_late→plans_around_the_boat_changed→": 2, "the_boat_is_late→plans_around_the_train_changed→ask__name__at__email_": 2}
