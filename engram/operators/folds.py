@@ -1,7 +1,7 @@
 """Order-dependent folds: segmentation into episodes, leader clustering, similarity upsert, size chunks.
 
-Each fold runs per key in the order (time, id) given by its arguments. Keys that may be hot (the session
-``default`` holds a tenth of all messages) are first split by ``period``, so a group stays bounded by time.
+Each fold runs per key in the order given by its arguments; the docstrings say what a task holds where a key may be hot
+(the session ``default`` holds a tenth of all messages).
 """
 
 from __future__ import annotations
@@ -20,26 +20,32 @@ from engram.session import cut
 WORDS = re.compile(r"[a-z0-9_]{3,}")
 
 
-def segment(messages: DataFrame, period: str = "day", longest: int = 20, overlap: float = 0.2) -> DataFrame:
-    """(session, msg_id, segment) of messages (session, agent, at, msg_id, content).
+def segment(messages: DataFrame, longest: int = 20, overlap: float = 0.2) -> DataFrame:
+    """(session, msg_id, segment) of messages (session, agent, at, msg_id, content, seq if there is one).
 
-    A segment ends at ``longest`` messages, or from two on where the keywords' overlap with it, over the
-    smaller set, falls under ``overlap``. Messages without text stay in the running segment.
+    Per session and agent in the order (seq, at, msg_id), nulls first. A segment ends at ``longest`` messages, or from
+    two on where the keywords' overlap with it, over the smaller set, falls under ``overlap``. Messages without text
+    stay in the running segment. Rows stream through in order, so a task holds one open segment, however long a session is.
     """
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, n, size, words = [], 0, 0, set()
-        for r in pdf.sort_values(["at", "msg_id"]).itertuples():
-            own = set(WORDS.findall((r.content or "").lower()))
-            least = min(len(own), len(words))
-            if size >= longest or (size >= 2 and least and len(own & words) / least < overlap):
-                n, size, words = n + 1, 0, set()
-            size, words = size + 1, words | own
-            out.append((key[0], r.msg_id, f"{key[1]}/{key[2]}/{n}"))
-        return pd.DataFrame(out, columns=["session", "msg_id", "segment"])
-
-    keyed = messages.withColumn("_p", F.coalesce(F.date_trunc(period, "at").cast("string"), F.lit("none"))).na.fill({"session": "none", "agent": "none"})
-    return keyed.groupBy("session", "agent", "_p").applyInPandas(fold, "session string, msg_id string, segment string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, size, words = None, 0, 0, set()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if (r.session, r.agent) != key:
+                    key, n, size, words = (r.session, r.agent), 0, 0, set()
+                own = set(WORDS.findall((r.content or "").lower()))
+                least = min(len(own), len(words))
+                if size >= longest or (size >= 2 and least and len(own & words) / least < overlap):
+                    n, size, words = n + 1, 0, set()
+                size, words = size + 1, words | own
+                out.append((r.session, r.msg_id, f"{r.agent}/{n}"))
+            yield pd.DataFrame(out, columns=["session", "msg_id", "segment"])
+
+    order = ["session", "agent", *[c for c in ("seq", "at", "msg_id") if c in messages.columns]]
+    ordered = messages.na.fill({"session": "none", "agent": "none"}).repartition("session", "agent").sortWithinPartitions(*order)
+    return ordered.select("session", "agent", "msg_id", "content").mapInPandas(fold, "session string, msg_id string, segment string")
 
 
 def size_chunks(messages: DataFrame, most: int = 25000, block: int = 64) -> DataFrame:

@@ -11,8 +11,9 @@ from engram.sources import transcripts
 
 
 def episode_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    msgs = table(spark, sf_dir, "raw_messages").select(F.col("session_id").alias("session"), F.col("agent_id").alias("agent"), F.col("ingested_at").cast("timestamp").alias("at"), "msg_id", "content")
-    return folds.segment(msgs.dropDuplicates(["msg_id"]))
+    key = [F.col("session_id").alias("session"), F.col("agent_id").alias("agent"), "msg_id", "seq", "content"]
+    msgs = table(spark, sf_dir, "raw_messages")
+    return folds.segment(msgs.groupBy(*key).agg(F.min(F.col("ingested_at").cast("timestamp")).alias("at")))
 
 
 def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

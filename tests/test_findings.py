@@ -97,3 +97,27 @@ def test_template_signatures_take_the_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "id string, agent_id string, cause_type string, cause_id string, cause string, effect_type string, effect_id string, effect string, mechanism string, confidence double, strength string, created_at timestamp").write.parquet(f"{tmp_path}/sheep_causal_links.parquet")
     got = {r["sig"]: r["n"] for r in entry.queries()["template_mining"](spark, str(tmp_path)).collect()}
     assert got == {"the_boat_is_late→plans_around_the_boat_changed→": 2, "the_boat_is_late→plans_around_the_train_changed→ask__name__at__email_": 2}
+
+
+def test_segments_cross_days_in_the_order_of_seq(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for session, agent, count in (("default", "a1", 400), ("default", "a2", 30), ("s1", "a1", 25), (None, "a1", 12)):
+        n, size, words, text = 0, 0, set(), []
+        for i in range(count):
+            if i % 11 == 0:
+                text = rng.sample(["cats", "dogs", "birds", "trains", "rails", "steam", "lakes", "boats"], 3)
+            own = set(text)
+            if size >= 20 or (size >= 2 and len(own & words) / min(len(own), len(words)) < 0.2):
+                n, size, words = n + 1, 0, set()
+            size, words = size + 1, words | own
+            want[(session or "none", f"{agent}-{session}-{i}")] = f"{agent}/{n}"
+            at = datetime(2025, 1, 1) + timedelta(hours=5 * i)
+            late = timedelta(days=9) if i % 7 == 0 else timedelta()
+            rows += [(agent, session, f"{agent}-{session}-{i}", i, "user", " ".join(text), at + late)] + [(agent, session, f"{agent}-{session}-{i}", i, "user", " ".join(text), at + timedelta(days=30))] * (i % 5 == 0)
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "agent_id string, session_id string, msg_id string, seq int, role string, content string, ingested_at timestamp").write.parquet(f"{tmp_path}/raw_messages.parquet")
+    got = entry.queries()["episode_segments"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["session"], r["msg_id"]): r["segment"] for r in got} == want
