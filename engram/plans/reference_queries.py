@@ -27,6 +27,8 @@ DUCK = {"MICROS": "epoch_us", "MATCHES": "regexp_matches", "UNNEST": "unnest", "
 #: Capitalised words that are no names (template-extractor.ts).
 COMMON = "the and for are but not you all can her was one our out day get has him his how its may new now old see two way who boy did man try use she many some time very when come here just like long make over such take than them well were".split()
 
+NEGATION = "not|no|never|none|neither|without|lack|absent|opposite|contrary"
+
 
 def _normalised(col: str, duck: bool) -> str:
     """A text as part of a template's signature: without addresses, phone numbers, links and names, lower case, other signs as '_'."""
@@ -48,6 +50,11 @@ def _translate(sql: str, names: dict[str, str], duck: bool) -> str:
     dot = "list_sum(list_transform(list_zip(\\1, \\2), lambda z: z[1]::double * z[2]::double))" if duck else "aggregate(zip_with(\\1, \\2, (x, y) -> cast(x as double) * cast(y as double)), 0D, (a, x) -> a + x)"
     sql = re.sub(r"DOT\(([\w.]+), ([\w.]+)\)", dot, sql)
     sql = re.sub(r"TRIM\((\w+)\)", rf"regexp_replace(\1, '^[ ]+|[ ]+$', ''{g})", sql)
+    sql = re.sub(r"SQUEEZED\((\w+)\)", rf"regexp_replace(lower(\1), '[^a-z0-9]', ''{g})", sql)
+    sql = re.sub(r"UNNEGATED\((\w+)\)", rf"regexp_replace(regexp_replace(lower(\1), '{NEGATION}', ''{g}), '[^a-z0-9]', ''{g})", sql)
+    # One in the other, or more than 0.8 of their characters in common (causal-extractor.ts calls that Levenshtein).
+    common, either = ("len(list_intersect(string_split(\\1, ''), string_split(\\2, '')))", "len(list_distinct(string_split(concat(\\1, \\2), '')))") if duck else ("size(array_remove(array_intersect(split(\\1, ''), split(\\2, '')), ''))", "size(array_remove(array_distinct(split(concat(\\1, \\2), '')), ''))")
+    sql = re.sub(r"SIMILAR\(([\w.]+), ([\w.]+)\)", rf"(\1 = '' or \2 = '' or STRPOS(\1, \2) > 0 or STRPOS(\2, \1) > 0 or 5 * {common} > 4 * {either})", sql)
     sql = re.sub(r"NORMALISED\((\w+)\)", lambda m: _normalised(m[1], duck), sql)
     # Decimal literals are doubles in both engines.
     sql = re.sub(r"(?<![\w.])\d+\.\d+(?![\w.])", r"\g<0>e0", sql)
@@ -194,7 +201,11 @@ SQL = {
     "audit_chain": "with c as (select id, SHA(concat(id, '|', coalesce(predicate, '')))# as h from facts) select id, SHA(concat(coalesce(lag(h) over (order by id), ''), h))# as chained from c",
     # second group: fusion variants, similarity, rules over whole texts
     "intersection_join": "select id, count(*) as k, round(avg(s), 6) as score from (select id, 1.0 as s from facts where subject = 'user' union all select id, 0.8 from facts where predicate in ('likes', 'prefers', 'uses') union all select id, 0.5 from facts where confidence >= 0.5) u group by id having count(*) = 3",
-    "causal_contradictions": "select a.id as a_id, b.id as b_id from links a join links b on a.agent_id = b.agent_id and lower(a.cause) = lower(b.cause) and a.id < b.id where lower(a.effect) <> lower(b.effect) and MATCHES(lower(a.effect), 'not|never|no longer|stopped') <> MATCHES(lower(b.effect), 'not|never|no longer|stopped')",
+    "causal_contradictions": f"""with n as (select id, agent_id, lower(cause) as c, lower(effect) as e, SQUEEZED(cause) as ck, SQUEEZED(effect) as ek from links where cause is not null and effect is not null),
+      t as (select agent_id, c as x from n union select agent_id, e from n), w as (select agent_id, x, MATCHES(x, '{NEGATION}') as neg, UNNEGATED(x) as k, SQUEEZED(x) as s from t),
+      opp as (select a.agent_id, a.x, b.x as y, SIMILAR(a.s, b.s) as near from w a join w b on a.agent_id = b.agent_id where a.neg and not b.neg and SIMILAR(a.k, b.k)), o as (select agent_id, x, y, near from opp union all select agent_id, y, x, near from opp)
+      select a.id as a_id, b.id as b_id, 'same_cause_different_effect' as type from o join n a on a.agent_id = o.agent_id and a.e = o.x join n b on b.agent_id = o.agent_id and b.e = o.y where not o.near and a.id < b.id and SIMILAR(a.ck, b.ck)
+      union all select a.id, b.id, 'same_effect_different_cause' from o join n a on a.agent_id = o.agent_id and a.c = o.x join n b on b.agent_id = o.agent_id and b.c = o.y where a.id < b.id and SIMILAR(a.ek, b.ek)""",
     "causal_search": """select id, case when STRPOS(lower(effect), 'kitchen plan') > 0 then 0.9 when STRPOS(lower(cause), 'kitchen plan') > 0 then 0.85 else 0.4 * ((case when STRPOS(lower(effect), 'kitchen') > 0 then 1 else 0 end) + (case when STRPOS(lower(effect), 'plan') > 0 then 1 else 0 end)) end as score from links
       where STRPOS(lower(effect), 'kitchen') > 0 or STRPOS(lower(effect), 'plan') > 0 or STRPOS(lower(cause), 'kitchen plan') > 0""",
     "tiered_search": f"with {BM25} select id, min(tier) as tier, round(max(score), 6) as score from (select id, 1 as tier, score from bm where score >= 0.3 union all select doc_id, 2, 0.01 from documents where STRPOS(lower(text), 'garden shed') > 0) u group by id",

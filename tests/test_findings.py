@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 from itertools import combinations, groupby
 
@@ -121,3 +122,39 @@ def test_segments_cross_days_in_the_order_of_seq(spark, tmp_path):
     spark.createDataFrame(rows, "agent_id string, session_id string, msg_id string, seq int, role string, content string, ingested_at timestamp").write.parquet(f"{tmp_path}/raw_messages.parquet")
     got = entry.queries()["episode_segments"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r["session"], r["msg_id"]): r["segment"] for r in got} == want
+
+
+def contradictions_by_force(links):
+    """The reference's loop over all pairs of an agent."""
+    negation = "not|no|never|none|neither|without|lack|absent|opposite|contrary"
+    bare = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+
+    def similar(x, y):
+        x, y = bare(x), bare(y)
+        return x in y or y in x or len({*x} & {*y}) / len({*x} | {*y}) > 0.8
+
+    def opposed(x, y):
+        x, y = x.lower(), y.lower()
+        return bool(re.search(negation, x)) != bool(re.search(negation, y)) and similar(re.sub(negation, "", x), re.sub(negation, "", y))
+
+    out = set()
+    for (i, a, c, e), (j, b, d, f) in combinations(sorted(links), 2):
+        if a == b and similar(c, d) and not similar(e, f) and opposed(e, f):
+            out.add((i, j, "same_cause_different_effect"))
+        if a == b and similar(e, f) and opposed(c, d):
+            out.add((i, j, "same_effect_different_cause"))
+    return out
+
+
+def test_contradictions_of_both_kinds(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = random.Random(6)
+    causes = ["the train ran late", "The train ran late!", "the trains ran late", "the train never ran late", "a quite different thing", "without the boat"]
+    effects = ["trip off", "trip not off", "never a trip, opposite: off", "plans changed", "plans changed.", "no plans changed", "contrary absent without opposite plans changed"]
+    links = [(f"l{i:03}", rng.choice("ab"), rng.choice(causes), rng.choice(effects)) for i in range(120)]
+    rows = [(i, a, "fact", "f", c, "fact", "g", e, None, 0.8, "direct", datetime(2025, 1, 1)) for i, a, c, e in links]
+    spark.createDataFrame(rows, "id string, agent_id string, cause_type string, cause_id string, cause string, effect_type string, effect_id string, effect string, mechanism string, confidence double, strength string, created_at timestamp").write.parquet(f"{tmp_path}/sheep_causal_links.parquet")
+    got = [tuple(r) for r in entry.queries()["causal_contradictions"](spark, str(tmp_path)).collect()]
+    want = contradictions_by_force(links)
+    assert len(got) == len(want) and set(got) == want and {k for _, _, k in want} == {"same_cause_different_effect", "same_effect_different_cause"}
