@@ -149,7 +149,7 @@ SLOT = re.compile(
     r"\{\{\{?[^{}\n]{0,40}\}?\}\}|\$\{(?![A-Z_]+\})[\w. ]{1,40}\}|<%=?[^%\n]{1,40}%>|#\{[\w. ]{1,40}\}|%\(\w+\)[sd]|(?<![\w%])%s(?!\w)|\[\[[^\[\]\n]{1,40}\]\]|<<\w[\w ]{0,30}>>|"
     r"<[A-Z][A-Z_]{2,30}>|@@\w+@@|%%\w+%%|(?<!\w)\$[A-Z_]{2,30}\$|(?<!\w)%[A-Z_]{3,30}%|(?<![\w$\"'])\{[a-z_][\w.]{0,30}\}|"
     r"\[(?!(?:user|assistant|system|at|dot|sic|x|link|image)\b)[^\W\d_][^\[\]\n@]{1,30}\](?![(\[])|(?<!\w)X{3,}(?!\w)|_{4,}|(?<![\w$])\{\d\}|(?<!\w)__[A-Z]+__(?!\w)")
-MISSING = re.compile(r"(?<![\w\"'./(])(?:null|undefined|NaN|None(?=$|[,.!?]|\s(?:moved|prefers|lives|vive|habite)))(?![\w\"'(])")
+MISSING = re.compile(r"(?<![\w\"'./(])(?:null|undefined|NaN|None(?!\s+(?:of|were|was|are|is|have|has|had|can|could|will|would|should|may|might|must|do|does|did|so|too|but|other|the|at all)\b))(?![\w\"'(])")
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|“[^”\n]*[”“]|„[^“”\n]*[“”]|«[^»\n]*»|(?<![\w{:\s])\"[^\"\n]*\"|(?<=[\s(\w])\"[^\"\n:{}]*\"(?!\s*:)", re.S)
 ROLE = re.compile(r"^\W*\[(?:user|assistant|system)\]:\s*", re.M)
 TOKEN = re.compile(r"⟨slot⟩|⟨missing⟩|[^\W_]+(?:['’\-][^\W_]+)*")
