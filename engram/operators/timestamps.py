@@ -1,27 +1,32 @@
 """Mixed timestamp formats and time zones -> one UTC instant.
 
-Every text is parsed under all formats whose grammar it meets. Most grammars exclude each other; numeric
-dates do not (day-month-year, month-day-year, year-month-day with two digits). Per source the shares of
-these formats are estimated by expectation-maximisation over the values' sets of valid parses, and the
-posterior chooses the reading. A known locale fixes the order (its other orders have likelihood zero);
-without one the posterior decides, and a value whose best reading stays under ``min_posterior`` is marked
+Every text is read under each format whose grammar it meets and that states an existing instant; these are its
+valid parses. Per source (table and agent) the shares of the formats are estimated by expectation-maximisation
+over the values' sets of valid parses, and each value takes the reading of the highest posterior. What is known
+of a source enters as the prior: the order of dates in its locale leaves the other orders no mass, without a
+locale all orders have the same. A value whose best reading stays under ``min_posterior`` is marked
 ``ambiguous`` instead of guessed.
 
-Defined results: null, empty and unreadable texts give status ``unreadable`` and a null instant; a local
-time that occurs twice is the first of the two; one that never occurs is read with the offset in force
-before the change; a local time of an agent without a known zone is ``unreadable``; repeated rows stay.
+Values are parsed once; what the estimate sees is their number by source and set of valid parses.
+
+Defined results: null, empty and unreadable texts give status ``unreadable`` and a null instant, as do texts whose
+only readings have no prior; a local time that occurs twice is the first of the two; one that never occurs is read
+with the offset in force before the change; a local time of an agent without a known zone is ``unreadable``;
+repeated rows stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.session import BROADCAST_ROWS, bounded_join, stage
+from engram.session import BROADCAST_ROWS, bounded_join, cut, stage
 
 # Month names and abbreviations of the six languages, folded to lower case with dotted i.
 MONTHS = {
@@ -45,6 +50,8 @@ UNIVERSAL = ("z", "utc", "gmt", "ut", "zulu")
 
 CANONICAL = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
 ORDERS = ("dmy", "mdy", "ymd")
+#: The formats of the mixture; a set of them is a number with a bit for each.
+FORMATS = ("epoch_s", "epoch_ms", "epoch_us", "epoch_ns", "basic", "iso", "day_month", "month_day", *ORDERS)
 ZONE = r"(?:(?:utc|gmt|ut)?\s?([+\-\u2212]\d{1,2}(?::?\d{2})?)|([a-z]{1,5}))?\s*(?:\[([a-z0-9_+\-]+(?:/[a-z0-9_+\-]+)*)\])?"
 TIMED = r"\A(.*?)(?:[t,]\s*|\s+|,\s*(?:at|um|à|a las|às|saat)\s+|\s+(?:at|um|à|a las|às|saat)\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*([ap]\.?m\.?)?\s*" + ZONE + r"\z"
 BASIC = r"\A(\d{4})-?(\d{2})-?(\d{2})t?(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?\s*" + ZONE + r"\z"
@@ -66,22 +73,27 @@ def locale_order(locale: Column) -> Column:
 def zone_table(agents: DataFrame, years: tuple[int, int] = (1970, 2037)) -> DataFrame:
     """(home_zone, abbrs): abbreviation -> offset seconds of each zone in use.
 
-    Distinct IANA zones number a few hundred at most, so they fit the driver. Of an abbreviation that meant
-    several offsets over time the latest meaning holds; names no zone database knows are left out.
+    Of an abbreviation that meant several offsets over time the latest meaning holds; names no zone database knows are
+    left out. Zones are looked up where their rows are, so no list of them comes to the driver.
     """
-    spark, rows = agents.sparkSession, []
-    for (zone,) in agents.select("home_zone").where("home_zone is not null").distinct().collect():
-        try:
-            tz = ZoneInfo(zone)
-        except Exception:
-            continue
-        abbrs: dict[str, int] = {}
-        for year in range(*years):
-            for month in range(1, 13):
-                at = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(tz)
-                abbrs[at.tzname().lower()] = int(at.utcoffset().total_seconds())
-        rows.append((zone, {k: v for k, v in abbrs.items() if k[0].isalpha()}))
-    return spark.createDataFrame(rows, "home_zone string, abbrs map<string,int>")
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for zone in pdf["home_zone"]:
+                try:
+                    tz = ZoneInfo(zone)
+                except Exception:
+                    continue
+                abbrs: dict[str, int] = {}
+                for year in range(*years):
+                    for month in range(1, 13):
+                        at = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(tz)
+                        abbrs[at.tzname().lower()] = int(at.utcoffset().total_seconds())
+                rows.append((zone, {k: v for k, v in abbrs.items() if k[0].isalpha()}))
+            yield pd.DataFrame(rows, columns=["home_zone", "abbrs"])
+
+    return agents.select("home_zone").where("home_zone is not null").distinct().mapInPandas(look_up, "home_zone string, abbrs map<string,int>")
 
 
 def _int(c: Column) -> Column:
@@ -102,7 +114,8 @@ def _groups(c: str, pattern: str, n: int) -> Column:
 
 
 def parse(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Adds the parts of a time text: _epoch_ms, or _day or _dmy, _mdy, _ymd (days), _clock (ms), _off, _abbr, _region."""
+    """Adds the parts of a time text: _kind (the one format that needs no order, if it is one), _epoch_ms, or _day or
+    _dmy, _mdy, _ymd (days), _clock (ms), _off, _abbr, _region."""
     text = F.regexp_replace(F.regexp_replace(F.col(ts), r"(?U)^\s+|\s+$", ""), r"(?iU)^D\d+:\s*", "")
     text = F.regexp_replace(F.translate(F.lower(F.translate(text, "İ：／\u0001", "i:/ ")), "ı", "i"), r"(?U)\s+", " ")
     df = stage(df, _s=text)
@@ -133,47 +146,60 @@ def parse(df: DataFrame, ts: str = "ts") -> DataFrame:
     day = F.when(F.col("_b").isNotNull(), F.col("_basic")).when(i.isNotNull(), _days(_int(i[1]), _int(i[3]), _int(i[4]))).otherwise(named)
     hour, minute, second = F.col("_hour"), F.col("_mi"), F.col("_se")
     clock = F.when((hour < 24) & (minute < 60) & (second < 60), (hour * 3600 + minute * 60 + second).cast("long") * 1000 + F.col("_ms"))
-    df = stage(df, _epoch_ms=epoch_ms, _day=day, _clock=clock, _dmy=_days(F.col("_y"), F.col("_n2"), F.col("_n1")),
+    kind = F.when(long != "", F.element_at(F.create_map(*[F.lit(x) for x in (13, "epoch_ms", 16, "epoch_us", 19, "epoch_ns")]), F.length(long))).when(whole != "", "epoch_s")
+    kind = kind.when(F.col("_b").isNotNull(), "basic").when(i.isNotNull(), "iso").when(dm.isNotNull(), "day_month").when(md.isNotNull(), "month_day")
+    df = stage(df, _kind=kind, _epoch_ms=epoch_ms, _day=day, _clock=clock, _dmy=_days(F.col("_y"), F.col("_n2"), F.col("_n1")),
                _mdy=_days(F.col("_y"), F.col("_n1"), F.col("_n2")), _ymd=_days(F.col("_yy"), F.col("_w2"), F.col("_w3")))
     return df.drop("_s", "_t", "_b", "_date", "_basic", "_h", "_mi", "_se", "_ms", "_half", "_i", "_dm", "_md", "_n", "_w", "_y", "_n1", "_n2", "_yy", "_w2", "_w3", "_hour")
 
 
-def to_instant(day: Column) -> Column:
-    """Epoch ms of a day under the zone the text states, or the home zone."""
-    zone, abbrs, region = F.col("_zone"), F.col("_abbrs"), F.col("_region")
-    local = day.cast("long") * 86_400_000 + F.col("_clock")
+def zone_rule() -> dict[str, Column]:
+    """How a text's local time becomes UTC: _fixed (offset in seconds that it states) or _local (the home zone holds)."""
+    zone, region, given = F.col("_zone"), F.coalesce("_region", F.lit("")), lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     off = F.translate("_off", "\u2212", "-")
     hh = _int(F.regexp_extract(off, r"\A[+\-](\d{1,2})", 1))
     mm = F.when(F.length(off) >= 5, _int(F.regexp_extract(off, r"(\d{2})\z", 1))).otherwise(0)
     seconds = F.when((hh <= 18) & (mm < 60), F.when(off.startswith("-"), -1).otherwise(1) * (hh * 3600 + mm * 60))
-    abbr = F.when(F.col("_abbr").isin(*UNIVERSAL), F.lit(0)).otherwise(F.element_at(abbrs, F.col("_abbr")))
-    home = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), zone))
-    return (
-        F.when(F.coalesce(F.col("_off"), F.lit("")) != "", local - seconds * 1000)
-        .when(F.coalesce(F.col("_abbr"), F.lit("")) != "", local - abbr * 1000)
-        .when(F.coalesce(region, F.lit("")) != "", F.when(F.lower(zone) == region, home))
-        .otherwise(home)
-    )
+    abbr = F.when(F.col("_abbr").isin(*UNIVERSAL), F.lit(0)).otherwise(F.element_at("_abbrs", F.col("_abbr")))
+    local = ~given("_off") & ~given("_abbr") & ((region == "") | (F.lower(zone) == region))
+    return {"_fixed": F.when(given("_off"), seconds).when(given("_abbr"), abbr), "_local": local}
+
+
+def to_instant(day: Column) -> Column:
+    """Epoch ms of a day under the text's ``zone_rule``."""
+    local = day.cast("long") * 86_400_000 + F.col("_clock")
+    home = F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(local), F.col("_zone")))
+    return F.when(F.col("_fixed").isNotNull(), local - F.col("_fixed").cast("long") * 1000).when(F.col("_local"), home)
 
 
-def em_weights(stats: DataFrame, prior: float = 1.0, rounds: int = 50) -> DataFrame:
-    """Shares of the date orders per source by expectation-maximisation.
+def em_choices(stats: DataFrame, prior: float = 1.0, rounds: int = 50) -> DataFrame:
+    """(source, parses, choice, posterior) by expectation-maximisation over each source's mixture of formats.
 
-    ``stats`` has (source, dmy, mdy, ymd booleans, n): the counts of each set of valid parses, at most seven
-    rows a source however many values it has, so a source's group is bounded.
+    ``stats`` has (source, known, parses, n): the order its locale states (or null), a set of valid parses and how many
+    values have it. A source has at most a few dozen sets however many values, so its group is bounded. Orders other
+    than a known one have prior zero and stay there; a set without any format of positive prior has no choice.
     """
+    bits, width = {f: 1 << i for i, f in enumerate(FORMATS)}, len(FORMATS)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        valid, n = pdf[list(ORDERS)].to_numpy(float), pdf["n"].to_numpy(float)
-        w = [1 / 3] * 3
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        known = next((k for k in pdf["known"] if isinstance(k, str)), None)
+        base = np.array([0.0 if known and f in ORDERS and f != known else prior / width for f in FORMATS])
+        valid = np.array([[bool(m & b) for b in bits.values()] for m in pdf["parses"]], float) * (base > 0)
+        n, w = pdf["n"].to_numpy(float), base / base.sum()
         for _ in range(rounds):
             like = valid * w
             post = like / like.sum(axis=1, keepdims=True).clip(1e-300)
-            w = (post * n[:, None]).sum(axis=0) + prior / 3
+            w = (post * n[:, None]).sum(axis=0) + base
             w = w / w.sum()
-        return pd.DataFrame({"source": [key[0]], **{f"w_{k}": [w[i]] for i, k in enumerate(ORDERS)}})
+        like = valid * w
+        post = like / like.sum(axis=1, keepdims=True).clip(1e-300)
+        best = post.argmax(axis=1)
+        some = valid.any(axis=1)
+        return pd.DataFrame({"source": key[0], "parses": pdf["parses"].to_numpy(), "choice": [FORMATS[b] if s else None for b, s in zip(best, some)], "posterior": [float(p[b]) if s else None for p, b, s in zip(post, best, some)]})
 
-    return stats.groupBy("source").applyInPandas(fit, "source string, w_dmy double, w_mdy double, w_ymd double")
+    # Rows of one set may come as several: the fit needs each once.
+    sets = stats.groupBy("source", "parses").agg(F.max("known").alias("known"), F.sum("n").alias("n"))
+    return sets.groupBy("source").applyInPandas(fit, "source string, parses int, choice string, posterior double")
 
 
 def normalise(df: DataFrame, agents: DataFrame, min_posterior: float = 0.9, ts: str = "ts") -> DataFrame:
@@ -182,30 +208,25 @@ def normalise(df: DataFrame, agents: DataFrame, min_posterior: float = 0.9, ts:
     status: ``exact`` (already canonical), ``resolved``, ``ambiguous``, ``unreadable``. Columns of other
     names pass through; an agent met twice counts once.
     """
-    agents = agents.where("agent_id is not null").groupBy("agent_id").agg(F.max("home_zone").alias("home_zone"), F.max("locale").alias("locale"))
-    agents = agents.join(F.broadcast(zone_table(agents)), "home_zone", "left")
+    agents = agents.where("agent_id is not null").groupBy("agent_id").agg(F.max(F.struct("home_zone", "locale")).alias("a")).select("agent_id", "a.*")
+    agents = bounded_join(agents, zone_table(agents), ["home_zone"])
     agents = agents.select("agent_id", F.when(F.col("abbrs").isNotNull(), F.col("home_zone")).alias("_zone"), locale_order(F.col("locale")).alias("_order"), F.col("abbrs").alias("_abbrs"))
     parsed = bounded_join(parse(df, ts), agents, ["agent_id"], limit=BROADCAST_ROWS // 4)
-    order = F.col("_order")
-    oks = {f"_ok_{k}": F.col("_day").isNull() & F.col("_clock").isNotNull() & F.col(f"_{k}").isNotNull() & (order.isNull() | (order == k)) for k in ORDERS}
-    parsed = stage(parsed, **oks)
-    # Only sources without a known order need an estimate; a known order leaves one reading at most.
-    unsure = order.isNull() & (F.col("_ok_dmy") | F.col("_ok_mdy") | F.col("_ok_ymd"))
-    parsed = stage(parsed, _src=F.when(unsure, F.concat_ws("/", "source", "agent_id")))
-    stats = parsed.where("_src is not null").groupBy(F.col("_src").alias("source"), *[F.col(f"_ok_{k}").alias(k) for k in ORDERS]).agg(F.count("*").alias("n"))
-    weights = em_weights(stats).withColumnRenamed("source", "_src")
-    parsed = bounded_join(parsed, weights, ["_src"])
-    like = {f"_l_{k}": F.when(F.col(f"_ok_{k}"), F.coalesce(F.col(f"w_{k}"), F.lit(1.0))).otherwise(0.0) for k in ORDERS}
-    parsed = stage(parsed, **like)
-    total, best = F.col("_l_dmy") + F.col("_l_mdy") + F.col("_l_ymd"), F.greatest("_l_dmy", "_l_mdy", "_l_ymd")
-    choice = F.when(total == 0, None).when(F.col("_l_dmy") == best, "dmy").when(F.col("_l_mdy") == best, "mdy").otherwise("ymd")
-    parsed = stage(parsed, _choice=choice, posterior=F.when(total > 0, best / total).otherwise(1.0))
-    day = F.coalesce("_day", F.when(F.col("_choice") == "dmy", F.col("_dmy")).when(F.col("_choice") == "mdy", F.col("_mdy")).when(F.col("_choice") == "ymd", F.col("_ymd")))
-    parsed = stage(parsed, _d=day)
-    parsed = stage(parsed, _instant=F.coalesce(F.col("_epoch_ms"), to_instant(F.col("_d"))))
+    parsed = stage(parsed, **zone_rule())
+    parsed = stage(parsed, _at=F.coalesce(F.col("_epoch_ms"), to_instant(F.col("_day"))), **{f"_at_{k}": to_instant(F.when(F.col("_kind").isNull(), F.col(f"_{k}"))) for k in ORDERS})
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, f in enumerate(FORMATS) for x in (f, 1 << i)]), F.col("_kind"))
+    own = sum((F.when(F.col(f"_at_{k}").isNotNull(), 1 << FORMATS.index(k)).otherwise(0) for k in ORDERS), F.when(F.col("_at").isNotNull(), bit).otherwise(0))
+    ats = ["_at", *[f"_at_{k}" for k in ORDERS]]
+    parsed = cut(parsed.select(*df.columns, F.concat_ws("/", "source", "agent_id").alias("_src"), F.col("_order").alias("_known"), own.cast("int").alias("_parses"), *ats))
+    stats = parsed.where("_parses > 0").groupBy(F.col("_src").alias("source"), F.col("_known").alias("known"), F.col("_parses").alias("parses")).agg(F.count("*").alias("n"))
+    choices = cut(em_choices(stats)).select(F.col("source").alias("_src"), F.col("parses").alias("_parses"), F.col("choice").alias("_choice"), F.col("posterior").alias("_post"))
+    read = bounded_join(parsed, choices, ["_src", "_parses"])
+    at = F.when(F.col("_choice").isNotNull(), F.col("_at"))
+    for k in ORDERS:
+        at = F.when(F.col("_choice") == k, F.col(f"_at_{k}")).otherwise(at)
+    read = stage(read, _instant=at)
     exact = F.coalesce(F.col(ts).rlike(CANONICAL), F.lit(False))
-    fmt = F.when(exact, "canonical").when(F.col("_epoch_ms").isNotNull(), "epoch").when(F.col("_day").isNotNull(), "dated").otherwise(F.col("_choice"))
-    sure = F.col("posterior") >= min_posterior
-    out = stage(parsed, epoch_ms=F.when(sure, F.col("_instant")), format=fmt,
-                status=F.when(F.col("_instant").isNull(), "unreadable").when(~sure, "ambiguous").when(exact, "exact").otherwise("resolved"))
-    return out.select(*df.columns, "epoch_ms", "format", "posterior", "status")
+    sure = F.col("_post") >= min_posterior
+    return read.select(
+        *df.columns, F.when(sure, F.col("_instant")).alias("epoch_ms"), F.when(exact, "canonical").otherwise(F.col("_choice")).alias("format"), F.coalesce("_post", F.lit(1.0)).alias("posterior"),
+        F.when(F.col("_instant").isNull(), "unreadable").when(~sure, "ambiguous").when(exact, "exact").otherwise("resolved").alias("status"))

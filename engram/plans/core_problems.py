@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import history, orphans, timestamps
+from engram.session import fill_cores
 
 #: (table, its id, where the row came from)
 TS_TABLES = (("raw_messages", "msg_id"), ("sheep_episodes", "id"), ("memory_requests", "request_id"))
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, row_id, agent_id, ts) of every table with received time texts."""
     parts = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(k).alias("row_id"), "agent_id", "ts") for t, k in TS_TABLES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return fill_cores(parts[0].unionByName(parts[1]).unionByName(parts[2]), "row_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ TABLES = ("agents", "raw_messages", "sheep_episodes", "sheep_facts", "sheep_caus
 SPARK = {"MICROS": "unix_micros", "MATCHES": "regexp_like", "UNNEST": "explode", "SIZE": "size", "SHA": "sha2", "SHA_END": ", 256)", "STRPOS": "instr"}
 DUCK = {"MICROS": "epoch_us", "MATCHES": "regexp_matches", "UNNEST": "unnest", "SIZE": "len", "SHA": "sha256", "SHA_END": ")", "STRPOS": "strpos"}
 
-#: Capitalised words that are no names (template-extractor.ts).
+#: Capitalised words that are no names.
 COMMON = "the and for are but not you all can her was one our out day get has him his how its may new now old see two way who boy did man try use she many some time very when come here just like long make over such take than them well were".split()
 
 NEGATION = "not|no|never|none|neither|without|lack|absent|opposite|contrary"
@@ -52,7 +52,7 @@ def _translate(sql: str, names: dict[str, str], duck: bool) -> str:
     sql = re.sub(r"TRIM\((\w+)\)", rf"regexp_replace(\1, '^[ ]+|[ ]+$', ''{g})", sql)
     sql = re.sub(r"SQUEEZED\((\w+)\)", rf"regexp_replace(lower(\1), '[^a-z0-9]', ''{g})", sql)
     sql = re.sub(r"UNNEGATED\((\w+)\)", rf"regexp_replace(regexp_replace(lower(\1), '{NEGATION}', ''{g}), '[^a-z0-9]', ''{g})", sql)
-    # One in the other, or more than 0.8 of their characters in common (causal-extractor.ts calls that Levenshtein).
+    # One in the other, or more than 0.8 of their characters in common.
     common, either = ("len(list_intersect(string_split(\\1, ''), string_split(\\2, '')))", "len(list_distinct(string_split(concat(\\1, \\2), '')))") if duck else ("size(array_remove(array_intersect(split(\\1, ''), split(\\2, '')), ''))", "size(array_remove(array_distinct(split(concat(\\1, \\2), '')), ''))")
     sql = re.sub(r"SIMILAR\(([\w.]+), ([\w.]+)\)", rf"(\1 = '' or \2 = '' or STRPOS(\1, \2) > 0 or STRPOS(\2, \1) > 0 or 5 * {common} > 4 * {either})", sql)
     sql = re.sub(r"NORMALISED\((\w+)\)", lambda m: _normalised(m[1], duck), sql)

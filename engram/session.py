@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,13 +28,27 @@ def local_session(app: str = "engram", cores: str = "8", partitions: int = 8) ->
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where none is set a temporary one is made, but only if driver and executors are one process; on a cluster
+    such a folder would be lost with its machine, so there a missing setting is an error.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="engram-ckpt-"))
+    if shared is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="engram-shared-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Set the folder of checkpoints to ``shared_dir`` where the session has none yet."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before Python work, where the input has fewer partitions than the session has cores.
+
+    Only an input of a few small files is dealt anew, by ``keys``; any larger one is left as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2, *keys)
+
+
 def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a table of unknown skew with a smaller one.
 
@@ -55,8 +79,12 @@ def bounded_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 4) -> DataFrame:
-    """Equi-join in which each key of the big side is spread over ``salts`` tasks."""
-    spread = big.withColumn("_salt", F.floor(F.rand(17) * salts).cast("int"))
+    """Equi-join in which each key of the big side is spread over ``salts`` tasks.
+
+    The salt is a hash of the row, so a retried task deals its rows as before.
+    """
+    row = [F.col(f"`{c}`") for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 

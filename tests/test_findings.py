@@ -158,12 +158,3 @@ def test_contradictions_of_both_kinds(spark, tmp_path):
     got = [tuple(r) for r in entry.queries()["causal_contradictions"](spark, str(tmp_path)).collect()]
     want = contradictions_by_force(links)
     assert len(got) == len(want) and set(got) == want and {k for _, _, k in want} == {"same_cause_different_effect", "same_effect_different_cause"}
-
-
-def test_none_is_a_missing_value_in_any_language():
-    from engram.llm.residue import windows
-
-    for text in ("None jetzt in Rosult", "None artık Rosult'ta", "None works at Rosult", "None moved to Rosult", "Anna lives in None"):
-        assert "⟨missing⟩" in windows(text)[0], text
-    for text in ("None of us came", "None were left", "None the wiser", "Nonetheless it rained", "second to none"):
-        assert all("⟨missing⟩" not in w for w in windows(text)), text

@@ -1,4 +1,5 @@
-from datetime import datetime, timezone
+import random
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,25 @@ def test_em_finds_the_order_without_a_locale(spark, agents):
     assert T.normalise(few, agents).first()["status"] == "ambiguous"
 
 
+def test_posteriors_against_hidden_locales(spark):
+    """Half of the agents lose their locale: the estimate must find the order that their values were written in."""
+    rng = random.Random(7)
+    agents, rows, want = [], [], {}
+    for a in range(20):
+        order = ("dmy", "mdy")[a % 2]
+        agents.append((f"a{a}", "UTC", ("de-DE", "en-US")[a % 2] if a % 4 < 2 else None))
+        for i in range(60):
+            at = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=rng.randrange(500_000))
+            form = rng.choice(["num", "num", "iso", "epoch"])
+            text = {"num": at.strftime("%d/%m/%Y %H:%M" if order == "dmy" else "%m/%d/%Y %H:%M"), "iso": at.strftime("%Y-%m-%d %H:%M"), "epoch": str(int(at.timestamp()))}[form]
+            rows.append(("t", f"{a}-{i}", f"a{a}", text))
+            want[f"{a}-{i}"] = int(at.timestamp() * 1000)
+    df = spark.createDataFrame(rows, "source string, row_id string, agent_id string, ts string")
+    got = T.normalise(df, spark.createDataFrame(agents, "agent_id string, home_zone string, locale string")).collect()
+    assert {r["row_id"]: r["epoch_ms"] for r in got if r["status"] == "resolved"} == want
+    assert {r["format"] for r in got} == {"dmy", "mdy", "iso", "epoch_s"} and min(r["posterior"] for r in got) >= 0.9
+
+
 def test_empty_and_clashing_columns(spark, agents):
     df = spark.createDataFrame([], "source string, row_id string, agent_id string, ts string, home_zone string")
     assert T.normalise(df.withColumn("locale", F.lit("x")), agents).count() == 0
