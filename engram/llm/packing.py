@@ -78,9 +78,11 @@ def pack_blocks(pieces: DataFrame, tag: str) -> DataFrame:
 
 
 def fill(sizes: DataFrame, containers: DataFrame, block: int = 2_000, full: float = 0.98) -> DataFrame:
-    """Assignment of items (doc_id, n_tokens) to bins of every container's capacity."""
+    """Assignment of items (doc_id, n_tokens) to bins of every container's capacity; at most 1,000 of these."""
     n = max(1, sizes.count() // block)
-    capacities = [(r[0], r[1]) for r in containers.select("container_id", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()]
+    capacities = [(r[0], r[1]) for r in containers.select("container_id", "capacity_tokens").where("capacity_tokens > 0").distinct().limit(1_001).collect()]
+    if len(capacities) > 1_000:
+        raise ValueError("more than 1,000 containers")
     if not capacities:
         return sizes.sparkSession.createDataFrame([], PLACED)
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("container_id"), F.lit(c).alias("capacity_tokens")) for i, c in capacities]))

@@ -6,46 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import language, packing, pii, residue, statements, survivors, tokens
+from engram.session import fill_cores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before Python work: a small file would be a single task."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism * 2, df.rdd.getNumPartitions()))
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which fact supplies each surviving field of each statement."""
-    return survivors.suppliers(spread(table(spark, sf_dir, "sheep_facts")))
+    return survivors.suppliers(fill_cores(table(spark, sf_dir, "sheep_facts"), "id"))
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving values themselves."""
-    s = survivors.survivors(spread(table(spark, sf_dir, "sheep_facts")))
+    s = survivors.survivors(fill_cores(table(spark, sf_dir, "sheep_facts"), "id"))
     return s.select("group_id", *[F.col(f"{n}.value").alias(n) for n in survivors.fields()])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the smallest id and each other id of the same statement."""
-    return statements.duplicate_pairs(spread(table(spark, sf_dir, "sheep_facts")))
+    return statements.duplicate_pairs(fill_cores(table(spark, sf_dir, "sheep_facts"), "id"))
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every statement once with the number of its copies."""
-    return statements.count_statements(statements.distinct_ids(spread(table(spark, sf_dir, "sheep_facts")))).select("first_id", "n_copies")
+    return statements.count_statements(statements.distinct_ids(fill_cores(table(spark, sf_dir, "sheep_facts"), "id"))).select("first_id", "n_copies")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
-    return tokens.with_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "ids")
+    return tokens.with_ids(fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")).select("doc_id", "ids")
 
 
 def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assignment of every document to bins of every container."""
-    sizes = packing.cut(tokens.with_sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_tokens"))
+    sizes = packing.cut(tokens.with_sizes(fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")).select("doc_id", "n_tokens"))
     return packing.fill(sizes, table(spark, sf_dir, "containers"))
 
 
@@ -77,7 +73,7 @@ def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(table(spark, sf_dir, "documents"))
-    return language.passages(spread(labelled_texts(spark, sf_dir)), model)
+    return language.passages(fill_cores(labelled_texts(spark, sf_dir), "row_id"), model)
 
 
 def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +93,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every excluded document with its reason."""
-    return residue.excluded(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where("reason is not null").select("doc_id", "reason")
+    return residue.excluded(fill_cores(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")).where("reason is not null").select("doc_id", "reason")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

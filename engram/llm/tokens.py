@@ -1,9 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE by monoid tree reduction.
 
-A text is halved until a piece is short, pieces are encoded, and neighbours are joined by re-encoding a
-window at the seam that grows until the scan of word pieces falls in step with the right-hand side. The
-pattern looks at most one character beyond a match and never back, so word pieces before the last two of
-the left side stand, and once a scan starts a word piece where the right side did, all later ones agree.
+A text is halved until a piece has at most ``LEAF`` characters; pieces are encoded, and neighbours are joined up the
+tree. At a seam only a window is encoded again. It grows to both sides until it ends where a word piece must end
+whatever stands farther off: between characters of unlike class, but for a sign before a letter and white space before
+anything. The pattern never looks back and no alternative of it spans such a place, so ids outside the window stand;
+decoding concatenates. Every text takes this way; one of ``LEAF`` characters or less is a tree of one leaf.
 Null and empty texts have the empty list of ids. Special tokens' strings are ordinary text.
 """
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pattern that splits texts into word pieces before byte-pair encoding.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF = 16_384
+LEAF = 256
+#: Places where a word piece ends whatever stands beyond the characters on both sides.
+CERTAIN = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])")
 _HELD: dict[str, tiktoken.Encoding] = {}
 
 
@@ -35,54 +38,53 @@ def encoder(name: str, path: str = TOKENIZERS) -> tiktoken.Encoding:
 
 
 class Piece:
-    """An encoded stretch of text: its word pieces' starts and each word piece's ids."""
+    """An encoded stretch of text."""
 
-    __slots__ = ("text", "starts", "ids")
+    __slots__ = ("text", "ids")
 
-    def __init__(self, text: str, starts: list[int], ids: list[list[int]]) -> None:
-        self.text, self.starts, self.ids = text, starts, ids
+    def __init__(self, text: str, ids: list[int]) -> None:
+        self.text, self.ids = text, ids
 
 
-def encode_piece(enc: tiktoken.Encoding, text: str) -> Piece:
-    found = [m.span() for m in regex.finditer(PATTERN, text)]
-    return Piece(text, [a for a, _ in found], [enc.encode_ordinary(text[a:b]) for a, b in found])
+def last_certain(text: str, width: int = 24) -> int:
+    """The last certain place inside a text, 0 if there is none; the window searched grows."""
+    while True:
+        low = max(0, len(text) - width)
+        places = [m.start() for m in CERTAIN.finditer(text, low) if low < m.start() < len(text)]
+        if places or not low:
+            return places[-1] if places else 0
+        width *= 4
+
+
+def first_certain(text: str, width: int = 24) -> int:
+    """The first certain place inside a text, its length if there is none."""
+    while True:
+        found = next((m.start() for m in CERTAIN.finditer(text, 0, min(len(text), width)) if 0 < m.start() < min(len(text), width)), 0)
+        if found or width >= len(text):
+            return found or len(text)
+        width *= 4
 
 
 def join(enc: tiktoken.Encoding, left: Piece, right: Piece) -> Piece:
-    """The encoding of both texts together."""
+    """The encoding of both texts together: ids of the window around the seam are made anew."""
     if not left.text or not right.text:
         return right if not left.text else left
-    text, shift = left.text + right.text, len(left.text)
-    keep = max(0, len(left.starts) - 2)
-    at = left.starts[keep] if left.starts else 0
-    starts, ids = left.starts[:keep], left.ids[:keep]
-    place = {s: i for i, s in enumerate(right.starts)}
-    scan = regex.compile(PATTERN)
-    while at < len(text):
-        if at >= shift and at - shift in place:
-            i = place[at - shift]
-            return Piece(text, starts + [s + shift for s in right.starts[i:]], ids + right.ids[i:])
-        end = scan.match(text, at).end()
-        starts.append(at)
-        ids.append(enc.encode_ordinary(text[at:end]))
-        at = end
-    return Piece(text, starts, ids)
+    a, b = last_certain(left.text), first_certain(right.text)
+    tail, head = left.text[a:], right.text[:b]
+    kept = left.ids[:len(left.ids) - len(enc.encode_ordinary(tail))]
+    return Piece(left.text + right.text, kept + enc.encode_ordinary(tail + head) + right.ids[len(enc.encode_ordinary(head)):])
 
 
 def tree(enc: tiktoken.Encoding, text: str, leaf: int = LEAF) -> Piece:
     if len(text) <= leaf:
-        return encode_piece(enc, text)
+        return Piece(text, enc.encode_ordinary(text))
     half = len(text) // 2
     return join(enc, tree(enc, text[:half], leaf), tree(enc, text[half:], leaf))
 
 
 def encode(enc: tiktoken.Encoding, text: str | None, leaf: int = LEAF) -> list[int]:
-    """Ids of one text; short texts are a single leaf."""
-    if not text:
-        return []
-    if len(text) <= leaf:
-        return enc.encode_ordinary(text)
-    return [i for ids in tree(enc, text, leaf).ids for i in ids]
+    """Ids of one text."""
+    return tree(enc, text, leaf).ids if text else []
 
 
 def with_ids(df: DataFrame, text: str = "text", name: str = "byte_bpe_50k", path: str = TOKENIZERS, out: str = "ids") -> DataFrame:

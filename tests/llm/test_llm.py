@@ -124,3 +124,10 @@ def test_language(spark):
     ("[user]: I like tea.", None), (None, None), ("", None), (" \n", None)])
 def test_residue(text, why):
     assert residue.Index({}).judge(text) == why
+
+
+def test_none_is_a_missing_value_in_any_language():
+    for text in ("None jetzt in Rosult", "None artık Rosult'ta", "None works at Rosult", "None moved to Rosult", "Anna lives in None"):
+        assert "⟨missing⟩" in residue.windows(text)[0], text
+    for text in ("None of us came", "None were left", "None the wiser", "Nonetheless it rained", "second to none"):
+        assert all("⟨missing⟩" not in w for w in residue.windows(text)), text
