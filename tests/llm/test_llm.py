@@ -128,6 +128,18 @@ def test_residue(text, why):
 
 def test_none_is_a_missing_value_in_any_language():
     for text in ("None jetzt in Rosult", "None artık Rosult'ta", "None works at Rosult", "None moved to Rosult", "Anna lives in None"):
-        assert "⟨missing⟩" in residue.windows(text)[0], text
+        assert residue.MARKS["None"] in residue.windows(text)[0], text
     for text in ("None of us came", "None were left", "None the wiser", "Nonetheless it rained", "second to none"):
-        assert all("⟨missing⟩" not in w for w in residue.windows(text)), text
+        assert all(residue.MARKS["None"] not in w for w in residue.windows(text)), text
+
+
+@pytest.mark.parametrize("text,why", [
+    ("Dear {{ customer.profile.address.street_line_1_with_unit }}, hello", "slot"), ("Dear {{ the name of the customer that signed the letter }}", "slot"), ("None likes tea.", "slot"),
+    ("Bad request", "error"), ("410 Gone", "error"), ("<!-- insert body here -->", "filler"), ("price {0} of ${amount}", "slot"), ("the pattern a{2} and [1] and [a link](http://x) and [user] said", None),
+    ("A long report says that access denied was the most common of all messages seen by the three teams last year in spring.", None), ("Velit magna arcu.", "filler"), ("x" * 200_000, None)])
+def test_residue_retrieved_by_exemplars(text, why):
+    index = residue.Index({})
+    assert index.judge(text) == why
+    if why == "slot":  # slots come from the index alone: without their exemplars none is found
+        index.all = [(label, tokens) if label != "slot" else (label, {"\ue999"}) for label, tokens in index.all]
+        assert index.judge(text) is None
