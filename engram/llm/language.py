@@ -3,15 +3,17 @@ trained by follow-the-regularised-leader with elastic net, then calibrated by a
 
 N-grams (1 to 4, words bounded) are hashed into ``SPACE`` features; a sentence is the mean of its n-grams'
 inverse document frequencies, so its logits are a sum over words, and each worker keeps the words it met.
-The model is fitted on at most ``SAMPLE`` labelled documents (whole texts); a fifth of them fits the
-temperature. Null and empty texts and texts without words have no passages. Quoted phrases, code, links and
-addresses are no sentences.
+The model is fitted on about ``SAMPLE`` labelled documents, chosen by hash, of each at most ``PER_DOCUMENT`` sentences,
+chosen by hash as well; a fifth of them fits the temperature. A sentence whose words come from several languages is cut
+at any number of places, in time that grows with its words. Null and empty texts and texts without words have no
+passages. Quoted phrases, code, links and addresses are no sentences.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 LANGS = ("en", "de", "fr", "es", "pt", "tr")
 SPACE, SCALE = 1 << 17, 12.0
-SAMPLE = 1_500
+SAMPLE, PER_DOCUMENT = 3_000, 24
 # Usual spellings of each language's name and code.
 SPELLINGS = {
     "en": "en eng english englisch anglais inglés inglês ingilizce", "de": "de deu ger german deutsch allemand alemán alemão almanca",
@@ -52,7 +54,7 @@ def sentences(text: str) -> list[list[str]]:
 
 def grams(word: str) -> list[int]:
     """Hashed n-grams of a word with its bounds."""
-    w = f"_{word[:40]}_"
+    w = f"_{word}_"
     return [crc32(w[i:i + n].encode()) % SPACE for n in (1, 2, 3, 4) for i in range(len(w) - n + 1)] + [crc32(f"={word}".encode()) % SPACE]
 
 
@@ -77,25 +79,64 @@ class Model:
 
     def judge(self, words: list[str]) -> tuple[str, float]:
         """Best language of words and its calibrated confidence."""
-        sums = [sum(c) for c in zip(*map(self.word, words))]
+        return self.best([sum(c) for c in zip(*map(self.word, words))])
+
+    def best(self, sums: list[float]) -> tuple[str, float]:
         k = SCALE / sums[-1]
         logits = [(s * k + b) / self.temperature for s, b in zip(sums, self.bias)]
         top = max(logits)
         return LANGS[logits.index(top)], 1 / sum(math.exp(v - top) for v in logits)
 
+    def many(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` of many rows of sums: indices of the languages and their confidences."""
+        logits = (sums[:, :-1] * (SCALE / sums[:, -1:]) + self.bias) / self.temperature
+        logits -= logits.max(axis=1, keepdims=True)
+        return logits.argmax(axis=1), 1 / np.exp(logits).sum(axis=1)
+
+    def chain(self, rows: np.ndarray, change: float = 6.0) -> list[tuple[int, int]]:
+        """Bounds of the stretches of the likeliest sequence of languages, one a word, where each change costs."""
+        logits = (rows[:, :-1] * (SCALE / rows[:, -1:]) + self.bias) / self.temperature
+        logits -= np.log(np.exp(logits - logits.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + logits.max(axis=1, keepdims=True)
+        score, came = logits[0], []
+        for e in logits[1:]:
+            top = int(score.argmax())
+            stay = score >= score[top] - change
+            came.append(np.where(stay, np.arange(len(LANGS)), top))
+            score = np.where(stay, score, score[top] - change) + e
+        at = int(score.argmax())
+        path = [at]
+        for back in reversed(came):
+            at = int(back[at])
+            path.append(at)
+        path.reverse()
+        edges = [0, *[i for i in range(1, len(path)) if path[i] != path[i - 1]], len(path)]
+        return list(zip(edges, edges[1:]))
 
     def parts(self, words: list[str], sure: float = 0.97, side: int = 4, least: float = 0.9) -> list[tuple[str, float, int]]:
-        """(lang, confidence, words) of a sentence, cut in two where both sides surely differ in language."""
-        lang, p = self.judge(words)
-        if p < sure and len(words) >= 2 * side:
-            best = None
-            for i in range(side, len(words) - side + 1):
-                (a, pa), (b, pb) = self.judge(words[:i]), self.judge(words[i:])
-                if a != b and min(pa, pb) >= least and (best is None or pa * pb > best[0]):
-                    best = (pa * pb, [(a, pa, i), (b, pb, len(words) - i)])
-            if best:
-                return best[1]
-        return [(lang, p, len(words))]
+        """(lang, confidence, words) of a sentence, cut where stretches of ``side`` words or more surely differ in language."""
+        got = [self.word(w) for w in words]
+        lang, p = self.best([sum(c) for c in zip(*got)])
+        if p >= sure or len(words) < 2 * side:
+            return [(lang, p, len(words))]
+        rows = np.array(got)
+        upto = np.vstack([np.zeros(rows.shape[1]), rows.cumsum(axis=0)])
+        pieces: list[list] = []
+        for a, b in self.chain(rows):
+            name, q = self.best((upto[b] - upto[a]).tolist())
+            if pieces and (b - a < side or q < least or pieces[-1][3] == name):
+                a = pieces.pop()[0]
+                name, q = self.best((upto[b] - upto[a]).tolist())
+            pieces.append([a, b, q, name])
+        sound = all(q >= least and b - a >= side for a, b, q, _ in pieces)
+        if sound and len(pieces) > 2:
+            return [(name, q, b - a) for a, b, q, name in pieces]
+        cuts = np.arange(side, len(words) - side + 1)
+        (x, px), (y, py) = self.many(upto[cuts]), self.many(upto[-1] - upto[cuts])
+        both = np.where((x != y) & (np.minimum(px, py) >= least), px * py, 0.0)
+        i = int(both.argmax())
+        if both[i] > 0:
+            return [(LANGS[x[i]], float(px[i]), int(cuts[i])), (LANGS[y[i]], float(py[i]), len(words) - int(cuts[i]))]
+        return [(name, q, b - a) for a, b, q, name in pieces] if sound and len(pieces) == 2 else [(lang, p, len(words))]
 
 
 def train(samples: list[tuple[list[str], int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, rounds: int = 1) -> Model:
@@ -142,12 +183,22 @@ def train(samples: list[tuple[list[str], int]], alpha: float = 0.3, beta: float
     return model
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from at most ``sample`` labelled documents, spread evenly by hash."""
-    known = documents.where("lang is not null and text is not null").withColumn("_k", F.xxhash64("doc_id"))
-    rows = known.select("_k", "text", "lang").orderBy("_k").limit(sample).collect()
-    data = [(w, LANGS.index(lang)) for r in rows if (lang := label_of(r["lang"])) for w in sentences(r["text"]) if len(w) > 2]
-    return train(data)
+def fit(documents: DataFrame, sample: int = SAMPLE, per_document: int = PER_DOCUMENT) -> Model:
+    """Model from about ``sample`` labelled documents (at most a tenth more), of each at most ``per_document`` sentences."""
+    known = documents.where("lang is not null").withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    share = min(1.0, sample / max(1, known.count()))
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, text, lang in zip(pdf["_k"], pdf["text"], pdf["lang"]):
+                name = label_of(lang)
+                whole = [" ".join(w) for w in sentences(text) if len(w) > 2] if name and text else []
+                out += [(key, x, LANGS.index(name)) for x in sorted(whole, key=lambda x: crc32(x.encode()))[:per_document]]
+            yield pd.DataFrame(out, columns=["k", "words", "lang"])
+
+    rows = known.where(F.col("_k") < int(share * (1 << 20)) + 1).select("_k", "text", "lang").mapInPandas(chosen, "k bigint, words string, lang int").limit(sample * per_document).collect()
+    return train([(r["words"].split(" "), r["lang"]) for r in sorted(rows, key=lambda r: (crc32(r["words"].encode()), r["k"]))])
 
 
 def languages(passages: Column, words: int = 3, least: float = 0.75) -> Column:
@@ -180,4 +231,5 @@ def passages(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out.append(got)
         return pd.Series(out)
 
-    return df.withColumn("passages", run(F.col(text)))
+    # Not deterministic, so that no filter on it is copied below another operator and judges again.
+    return df.withColumn("passages", run.asNondeterministic()(F.col(text)))

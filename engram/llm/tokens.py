@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the published pattern that splits texts into word pieces before byte-pair encoding.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF = 256
+LEAF = 512
 #: Places where a word piece ends whatever stands beyond the characters on both sides.
 CERTAIN = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=[^\s\p{L}\p{N}])(?=[\s\p{N}])")
 _HELD: dict[str, tiktoken.Encoding] = {}

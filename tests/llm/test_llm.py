@@ -143,3 +143,12 @@ def test_residue_retrieved_by_exemplars(text, why):
     if why == "slot":  # slots come from the index alone: without their exemplars none is found
         index.all = [(label, tokens) if label != "slot" else (label, {"\ue999"}) for label, tokens in index.all]
         assert index.judge(text) is None
+
+
+def test_any_number_of_languages_in_one_sentence(spark):
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    text = "we finally sorted out the garden shed during the weekend und wir haben die Gemüsekiste verschoben weil es zu laut war y prefiero dedicar más tiempo al taller de cerámica que empezar otra vez"
+    assert [p[0] for p in model.parts(text.split())] == ["en", "de", "es"]
+    long = (text + " ").split() * 2_000  # no full stop: time must grow with the words
+    assert sum(p[2] for p in model.parts(long)) == len(long)
+    assert model.parts(["x" * 50_000])[0][2] == 1
