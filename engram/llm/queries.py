@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +48,32 @@ def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def personal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_table, row_id, field_name, text) of all fields with free text; replays once."""
+    """(source_table, row_id, field_name, text) of all fields with free text, replays as they came."""
     take = lambda t, k, f, c: table(spark, sf_dir, t).select(F.lit(t).alias("source_table"), F.col(k).alias("row_id"), F.lit(f).alias("field_name"), c.alias("text"))
     parts = take("raw_messages", "msg_id", "content", F.col("content")).unionByName(take("sheep_episodes", "id", "summary", F.col("summary")))
     parts = parts.unionByName(take("sheep_facts", "id", "object", F.col("object"))).unionByName(take("sheep_facts", "id", "evidence", F.explode("evidence")))
-    return parts.where("text is not null and row_id is not null").dropDuplicates()
+    return fill_cores(parts.where("text is not null and row_id is not null"), "row_id")
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret of the session setting ``engram.pseudonym.key``; where none is set a new one, kept in the session and told to none."""
+    key = spark.conf.get("engram.pseudonym.key", None)
+    if key is None:
+        key = token_hex(32)
+        spark.conf.set("engram.pseudonym.key", key)
+    return key
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with its items replaced by placeholders."""
-    out = pii.redacted(personal_fields(spark, sf_dir))
+    """Every text with its items replaced by placeholders; a text that comes again in a replay comes out once."""
+    out = pii.redacted(personal_fields(spark, sf_dir).dropDuplicates(), pseudonym_key(spark))
     return out.select("source_table", "row_id", "field_name", F.col("r.redacted").alias("redacted"), F.col("r.kinds").alias("kinds"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of personal data in each field."""
-    return p6_redacted(spark, sf_dir).select("source_table", "row_id", "field_name", F.explode("kinds").alias("kind")).distinct()
+    """Kinds of personal data in each field. Texts are scanned where they are read; only found kinds are shuffled."""
+    out = pii.redacted(personal_fields(spark, sf_dir), pseudonym_key(spark))
+    return out.select("source_table", "row_id", "field_name", F.explode("r.kinds").alias("kind")).distinct()
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

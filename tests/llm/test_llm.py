@@ -100,7 +100,7 @@ def test_pii_keeps_the_rest_and_links(spark):
     assert x == y and "23125278" not in x and out.startswith("a [PHONE:+") and out.endswith("] c")
     assert len({tuple(pii.feistel([i // 100, i // 10 % 10, i % 10], 10, b"k")) for i in range(1000)}) == 1000
     df = spark.createDataFrame([(None,), ("",), ("x" * 100_000,)], "text string")
-    assert [r["r"]["redacted"] for r in pii.redacted(df).collect()] == [None, "", "x" * 100_000]
+    assert [r["r"]["redacted"] for r in pii.redacted(df, "secret").collect()] == [None, "", "x" * 100_000]
 
 
 def test_language(spark):
@@ -152,3 +152,30 @@ def test_any_number_of_languages_in_one_sentence(spark):
     long = (text + " ").split() * 2_000  # no full stop: time must grow with the words
     assert sum(p[2] for p in model.parts(long)) == len(long)
     assert model.parts(["x" * 50_000])[0][2] == 1
+
+
+def test_pseudonyms_link_spellings_and_stay_valid():
+    k = b"k" * 32
+    same = {pii.permuted_phone(x, k).split()[-1] for x in ("+49 30 23125278", "0049 30 23125278", "030 23125278")}
+    assert len(same) == 1 and pii.permuted_phone("+49 30 23125278", k).startswith("+49 ") and pii.permuted_phone("0049 30 1", k).startswith("0049 ")
+    for item in ("529.982.247-25", "X1234567L", "10000000146", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "1 85 05 78 006 084 91"):
+        bare = lambda x: "".join(c for c in x if c.isalnum()).upper()
+        out = pii.permuted(item, k)
+        assert pii.checked(bare(out))[1] == pii.checked(bare(item))[1] and out != item and [c.isalnum() for c in out] == [c.isalnum() for c in item]
+    assert pii.checked("52998224726") is None
+    assert len({pii.permuted_date(f"{d:02d}.{m:02d}.2024", k) for d in range(1, 29) for m in range(1, 13)}) == 28 * 12 and pii.permuted_date("31.02.2024", k) is None
+    assert pii.redact("born 29.02.2024", k) == ("born 29.02.2024", []) and pii.redact("born 29.02.2024", k, dates=True)[0] != "born 29.02.2024"
+
+
+@pytest.mark.parametrize("text", ["My name is Priya Raman and I moved.", "Dr. Xiaoming Li called.", "Contact: Oluwaseun Adeyemi."])
+def test_names_by_context(text):
+    assert pii.redact(text, b"k")[1] == ["person_name"]
+
+
+def test_scans_are_linear():
+    import time
+
+    for text in ("a." * 100_000 + "@", " x@a.org y" * 10_000, "+49 " * 50_000, "Anna " * 50_000):
+        began = time.time()
+        pii.find(text)
+        assert time.time() - began < 20
