@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import history, orphans, timestamps
-from engram.session import fill_cores
+from engram.session import cut, fill_cores
 
 #: (table, its id, where the row came from)
 TS_TABLES = (("raw_messages", "msg_id"), ("sheep_episodes", "id"), ("memory_requests", "request_id"))
@@ -73,6 +73,21 @@ def p2_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("ref_table", "ref_field", F.date_format("seen", "yyyy-MM").alias("period"), "state").agg(F.count("*").alias("n_refs"))
 
 
+def p2_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting references per table, field and month of arrival: opened, resolved, open at its end."""
+    return orphans.open_counts(_reference_states(spark, sf_dir)).select("ref_table", "ref_field", F.date_format("period", "yyyy-MM").alias("period"), "opened", "resolved", "open")
+
+
+def p2_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that were resolved and are orphans again once the retracted facts are deleted."""
+    state = orphans.advance(orphans.empty_state(references(spark, sf_dir), parents(spark, sf_dir)), references(spark, sf_dir), parents(spark, sf_dir))
+    state = orphans.OrphanState(cut(state.parents), cut(state.refs))
+    facts = table(spark, sf_dir, "sheep_facts")
+    after = orphans.advance(state, references(spark, sf_dir).limit(0), parents(spark, sf_dir).limit(0), facts.where("not is_active").select(F.lit("sheep_facts").alias("target"), "id"))
+    was = state.refs.where("parent_seen is not null").select(*orphans.REF_ID)
+    return after.refs.where("parent_seen is null").select(*orphans.REF_ID).join(was, orphans.REF_ID, "left_semi").distinct()
+
+
 ATTRS = ["first_seen", "last_confirmed", "is_active", "retracted_reason"]
 
 
@@ -89,7 +104,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_versions(spark, sf_dir).select("fact_id", ms("valid_from").alias("valid_from_ms"), F.coalesce(ms("valid_to"), F.lit(-1)).cast("bigint").alias("valid_to_ms"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p4_found": p4_found, "p4_status": p4_status, "p7_found": p7_found, "p7_versions": p7_versions}
+QUERIES = {
+    "p2_found": p2_found, "p2_periods": p2_periods, "p2_snapshots": p2_snapshots, "p2_reopened": p2_reopened, "p4_found": p4_found, "p4_status": p4_status, "p7_found": p7_found, "p7_versions": p7_versions}
 
 ORACLES = {
     "p2_found": r"""
@@ -105,6 +121,26 @@ p as (select t, lower(regexp_replace(k, '^\s+|\s+$', '', 'g')) k, min(seen) firs
 select distinct ref_table, row_id, ref_field, ref_key, case when first_seen is null then 'absent' else 'late' end as state
 from r left join p on p.t = r.t and p.k = lower(regexp_replace(ref_key, '^\s+|\s+$', '', 'g'))
 where first_seen is null or first_seen > seen""",
+    "p2_reopened": r"""
+with refs as (
+  select 'sheep_causal_links' ref_table, id row_id, 'cause_id' ref_field, cause_id ref_key, lower(trim(cause_type)) t from sheep_causal_links
+  union all select 'sheep_causal_links', id, 'effect_id', effect_id, lower(trim(effect_type)) from sheep_causal_links)
+select distinct ref_table, row_id, ref_field, ref_key from refs
+where t = 'fact' and lower(regexp_replace(ref_key, '^\s+|\s+$', '', 'g')) in (select lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) from sheep_facts where not is_active)""",
+    "p2_snapshots": r"""
+with refs as (
+  select 'sheep_causal_links' ref_table, id row_id, 'cause_id' ref_field, cause_id ref_key, lower(trim(cause_type)) t, ingested_at seen from sheep_causal_links
+  union all select 'sheep_causal_links', id, 'effect_id', effect_id, lower(trim(effect_type)), ingested_at from sheep_causal_links
+  union all select 'sheep_episodes', id, 'source_message_ids', unnest(source_message_ids), 'message', ingested_at from sheep_episodes),
+r as (select ref_table, row_id, ref_field, ref_key, t, min(seen) seen from refs
+  where t in ('fact', 'episode', 'message') and regexp_replace(ref_key, '^\s+|\s+$', '', 'g') <> '' group by all),
+pa as (select 'fact' t, id k, ingested_at seen from sheep_facts union all select 'episode', id, ingested_at from sheep_episodes
+  union all select 'message', msg_id, ingested_at from raw_messages),
+p as (select t, lower(regexp_replace(k, '^\s+|\s+$', '', 'g')) k, min(seen) first_seen from pa group by all),
+o as (select ref_table, ref_field, seen, first_seen from r left join p on p.t = r.t and p.k = lower(regexp_replace(ref_key, '^\s+|\s+$', '', 'g')) where (first_seen is null or first_seen > seen) and seen is not null),
+m as (select ref_table, ref_field, strftime(seen, '%Y-%m') period, 1 a, 0 b from o union all select ref_table, ref_field, strftime(first_seen, '%Y-%m'), 0, 1 from o where first_seen is not null),
+s as (select ref_table, ref_field, period, sum(a)::bigint opened, sum(b)::bigint resolved from m group by all)
+select *, sum(opened - resolved) over (partition by ref_table, ref_field order by period)::bigint as open from s""",
     "p7_found": r"""
 with s as (select fact_id, snapshot_at, first_seen, last_confirmed, is_active, lower(regexp_replace(retracted_reason, '^\s+|\s+$', '', 'g')) reason, ingested_at from sheep_fact_snapshots),
 o as (select * from s qualify row_number() over (partition by fact_id, snapshot_at order by ingested_at desc) = 1),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from engram.operators import orphans
-from engram.session import cut
 
 
 def idle_sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
@@ -23,17 +22,19 @@ def rate_windows(events: DataFrame, width: str = "1 hour", slide: str = "10 minu
 
 
 class OrphanStream:
-    """Feeds micro-batches of references (kind ``ref``) and parents (kind ``parent``) into the pending-orphan state."""
+    """Feeds micro-batches of references (kind ``ref``), parents (``parent``) and deletions (``deleted``) into a store.
 
-    def __init__(self, state: orphans.OrphanState) -> None:
-        self.state = state
+    The state is the store's tables, so a restarted stream goes on from them; the batch that Spark gives again after a
+    failure is applied to the state before it.
+    """
+
+    def __init__(self, store: orphans.OrphanStore) -> None:
+        self.store = store
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         refs = batch.where("kind = 'ref'").select(*orphans.REF_ID, "target", "seen")
         parents = batch.where("kind = 'parent'").select("target", "id", "seen")
-        gone = batch.where("kind = 'deleted'").select("target", "id")
-        after = orphans.advance(self.state, refs, parents, gone)
-        self.state = orphans.OrphanState(cut(after.parents), cut(after.refs))
+        self.store.apply(batch_id, refs, parents, batch.where("kind = 'deleted'").select("target", "id"))
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

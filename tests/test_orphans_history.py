@@ -27,14 +27,40 @@ def test_states_do_not_depend_on_batches(spark):
         assert {(r["row_id"], r["state"]) for r in orphans.run(refs, parents, cuts).collect()} == want
 
 
-def test_deletion_reopens(spark):
+COLS = "kind string, ref_table string, row_id string, ref_field string, ref_key string, target string, seen timestamp, id string"
+
+
+def states(store):
+    return {(r["row_id"], r["state"]) for r in store.state().collect()}
+
+
+def test_deletion_reopens_and_a_batch_counts_once(spark, tmp_path):
+    store = orphans.OrphanStore(spark, str(tmp_path / "s"), buckets=4)
+    stream = OrphanStream(store)
+    first = spark.createDataFrame([("ref", "l", "1", "c", "a", "f", day(1), None), ("ref", "l", "2", "c", "b", "f", day(1), None), ("parent", None, None, None, None, "f", day(0), "a")], COLS)
+    stream.on_batch(first, 0)
+    assert states(store) == {("1", "known"), ("2", "absent")}
+    second = spark.createDataFrame([("deleted", None, None, None, None, "f", day(2), "A"), ("parent", None, None, None, None, "f", day(3), "b")], COLS)
+    for _ in range(2):  # Spark gives the last batch again after a failure
+        stream.on_batch(second, 1)
+        assert states(store) == {("1", "absent"), ("2", "late")}
+    stream.on_batch(spark.createDataFrame([("parent", None, None, None, None, "f", day(4), "a")], COLS), 2)
+    assert states(store) == {("1", "late"), ("2", "late")}
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for i, rows in enumerate(([("ref", "l", "1", "c", "a", "f", day(1), None)], [("parent", None, None, None, None, "f", day(5), "A ")])):
+        spark.createDataFrame(rows, COLS).coalesce(1).write.mode("append").parquet(source)
+        store = orphans.OrphanStore(spark, str(tmp_path / "s"))  # nothing is kept in the process
+        OrphanStream(store).start(spark.readStream.schema(COLS).parquet(source), str(tmp_path / "c")).awaitTermination(120)
+        assert states(store) == {("1", ("absent", "late")[i])}
+
+
+def test_open_counts(spark):
     refs, parents = tables(spark)
-    stream = OrphanStream(orphans.empty_state(refs, parents))
-    cols = "kind string, ref_table string, row_id string, ref_field string, ref_key string, target string, seen timestamp, id string"
-    stream.on_batch(spark.createDataFrame([("ref", "l", "1", "c", "a", "f", day(1), None), ("parent", None, None, None, None, "f", day(0), "a")], cols), 0)
-    assert stream.state.refs.first()["parent_seen"] is not None
-    stream.on_batch(spark.createDataFrame([("deleted", None, None, None, None, "f", day(2), "A")], cols), 1)
-    assert stream.state.refs.first()["parent_seen"] is None
+    got = {(str(r["period"])[:7], r["opened"], r["resolved"], r["open"]) for r in orphans.open_counts(orphans.run(refs, parents, [])).where("ref_table = 'l'").collect()}
+    assert got == {("2025-01", 3, 1, 2)}
 
 
 def test_empty(spark):
