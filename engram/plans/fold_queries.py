@@ -33,3 +33,6 @@ def user_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"episode_segments": episode_segments, "embedding_clusters": embedding_clusters, "fact_upserts": fact_upserts, "size_chunks": size_chunks, "user_export": user_export}
+ORACLES = {
+    "size_chunks": "with m as (select distinct agent_id, session_id, msg_id, seq, role, content from raw_messages) select session_id, msg_id, floor((sum(length(coalesce(content, ''))) over (partition by session_id, agent_id order by seq nulls first, msg_id rows between unbounded preceding and current row) - 1) / 25000)::bigint as chunk from m",
+}

@@ -93,14 +93,6 @@ FACT_SCORE = (f"round(0.2 * least(f.access_count / greatest({AGE}, 1.0), 1.0) +
               f"+ 0.15 * exp(-{AGE} / 30.0) + 0.15 * exp(-(count(*) over (partition by f.predicate) - 1) / 3.0) + 0.1 * case when f.user_affirmed then 1.0 else 0.3 end, 6)")
 EP_SCORE = (f"round(0.2 * least(f.access_count / greatest({AGE}, 1.0), 1.0) + 0.15 * coalesce(f.emotional_salience, 0.0) + 0.25 * case when c.k is not null then 1.0 else 0.2 end "
             f"+ 0.15 * exp(-{AGE} / 30.0) + 0.15 * exp(-(count(*) over (partition by lower(f.topic)) - 1) / 5.0) + 0.1 * case f.ttl when 'permanent' then 1.0 when '90d' then 0.7 when '30d' then 0.3 else 0.1 end, 6)")
-BM25 = """tok as (select doc_id as id, UNNEST(TOKENS(text)) as term from documents), t2 as (select id, term from tok where length(term) > 1),
-dl as (select id, count(*) as dl from t2 group by id), n as (select count(*) as n, avg(dl) as avgdl from dl),
-q as (select term, count(*) as qn from (select UNNEST(TOKENS(query)) as term from (select 'the garden shed and the night train' as query) s) x where length(term) > 1 group by term),
-tf as (select t2.id, t2.term, count(*) as tf from t2 join q on q.term = t2.term group by t2.id, t2.term), df as (select term, count(*) as df from tf group by term),
-bm as (select tf.id, round(least(sum(qn * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) / 24.0, 1.0), 6) as score
-  from tf join df on df.term = tf.term join dl on dl.id = tf.id join q on q.term = tf.term cross join n group by tf.id)"""
-VEC = """qv as (select vec_id as qid, embedding as qe from embeddings where vec_id % 20 = 0),
-sim as (select qid, vec_id, DOT(qe, embedding) / (sqrt(DOT(qe, qe)) * sqrt(DOT(embedding, embedding))) as cosine, label from qv join embeddings on vec_id <> qid)"""
 
 SQL = {
     # filters and lookups
@@ -116,126 +108,48 @@ SQL = {
     "primary_predicates": "select predicate, count(*) as n from facts where predicate in ('likes', 'works_at', 'lives_at', 'has_name') or confidence >= 0.95 group by predicate",
     "hosted_why": "select id, confidence from links where STRPOS(lower(concat(cause, ' ', effect, ' ', coalesce(mechanism, ''))), 'garden') > 0 order by confidence desc nulls last, id limit 10",
     "core_facts_per_subject": "select subject, id, confidence from (select *, row_number() over (partition by subject order by confidence desc nulls last, id) as rn from facts where is_active) x where rn <= 3",
-    "keyword_recall": """with h as (select id, (case when STRPOS(lower(summary), 'garden') > 0 then 1 else 0 end) + (case when STRPOS(lower(summary), 'train') > 0 then 1 else 0 end) + (case when STRPOS(lower(summary), 'router') > 0 then 1 else 0 end) as hits from eps)
-      select id, hits from h where hits > 0 order by hits desc, id limit 20""",
-    # aggregation, merging, dedup
     "store_statistics": """select (select count(*) from eps) as episodes, (select count(*) from facts) as facts_n, (select count(*) from facts where is_active) as active, (select round(avg(confidence), 6) from facts where is_active) as avg_confidence, (select count(*) from links) as links_n, (select MICROS(max(created_at)) from eps) as newest""",
-    "merge_facts": """with o as (select *, row_number() over (partition by subject, predicate, object order by created_at, id) as rn, count(*) over (partition by subject, predicate, object) as n from facts)
-      select subject, predicate, object, id, round(least(1.0, confidence + 0.1 * (n - 1)), 6) as confidence from o where rn = 1""",
-    "merge_links": """with o as (select *, row_number() over (partition by substring(cause, 1, 30), substring(effect, 1, 30) order by created_at, id) as rn, count(*) over (partition by substring(cause, 1, 30), substring(effect, 1, 30)) as n from links)
-      select id, n, round(least(1.0, confidence + 0.1 * (n - 1)), 6) as confidence from o where rn = 1""",
-    "fact_dedup_job": """select id from (select id, row_number() over (partition by lower(TRIM(subject)), lower(TRIM(predicate)), lower(TRIM(object)) order by confidence desc nulls last, id) as rn from facts) x where rn > 1""",
-    "duplicate_groups": """with g as (select *, count(*) over (partition by lower(subject), lower(predicate)) as n, row_number() over (partition by lower(subject), lower(predicate) order by user_affirmed desc nulls last, confidence desc nulls last, length(object) desc, id) as rn from facts where is_active)
-      select lower(subject) as subject, lower(predicate) as predicate, n, id as best from g where rn = 1 and n > 1""",
     "exact_upsert": "select lower(TRIM(subject)) as s, lower(TRIM(predicate)) as p, lower(TRIM(object)) as o, max(confidence) as confidence, count(*) as n from facts group by 1, 2, 3",
-    "single_valued": """with best as (select *, row_number() over (partition by subject, predicate, object order by confidence desc nulls last, id) as r1 from facts where predicate in ('works_at', 'lives_at', 'has_name', 'married_to'))
-      select subject, predicate, object, id from (select *, row_number() over (partition by subject, predicate order by confidence desc nulls last, created_at, id) as r2 from best where r1 = 1) x where r2 = 1""",
     "template_mining": "with s as (select concat(NORMALISED(cause), '→', NORMALISED(effect), '→', NORMALISED(mechanism)) as sig, confidence from links where confidence is not null) select sig, count(*) as n, round(avg(confidence), 6) as mean from s group by sig having count(*) >= 2 and avg(confidence) >= 0.6",
     "confidence_distribution": "select case when confidence >= 0.9 then 'high' when confidence >= 0.7 then 'good' when confidence >= 0.5 then 'medium' when confidence is null then 'none' else 'low' end as bucket, count(*) as n from facts group by 1",
     "memory_limits": "select 'episodes' as kind, count(*) as n, count(*) > 10000 as over_limit from eps union all select 'facts', count(*), count(*) > 50000 from facts where is_active union all select 'links', count(*), count(*) > 10000 from links",
     "entity_keyword_index": "with w as (select subject, UNNEST(TOKENS(object)) as word from facts where lower(subject) <> 'user') select subject, word, count(*) as n from w where length(word) > 3 group by subject, word",
     "daily_quota": "select agent_id, cast(MICROS(date_trunc('day', received_at)) as bigint) as day_us, count(*) as n, count(*) > 20 as over_quota from reqs group by 1, 2",
     "usage_by_mode": "select coalesce(lower(mode_name), 'none') as mode_name, count(*) as n from reqs where received_at > AS_OF - interval 300 day group by 1",
-    "latency_percentiles": """with v as (select event_type, value, row_number() over (partition by event_type order by value, event_id) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
-      select event_type, max(case when i = floor(n * 0.5) then value end) as p50, max(case when i = floor(n * 0.95) then value end) as p95, max(case when i = floor(n * 0.99) then value end) as p99 from v group by event_type""",
-    "rolling_last_1000": "select count(*) as n, round(avg(value), 6) as mean from (select value, row_number() over (order by ts desc, event_id desc) as rn from events) x where rn <= 1000",
     "health_score": """select floor(greatest(0.0, 100 - sum((case when confidence < 0.3 then 5 else 0 end) + (case when length(trim(object)) < 3 then 10 else 0 end) + (case when access_count = 0 and last_confirmed < AS_OF - interval 30 day then 1 else 0 end)) / (2.0 * count(*)) * 100) + 0.5) as health from facts where is_active""",
     "stale_facts": "select id from facts where is_active and access_count = 0 and last_confirmed < AS_OF - interval 30 day",
     # joins
-    "contradictions": """select a.id as a_id, b.id as b_id, case when coalesce(a.user_affirmed, false) <> coalesce(b.user_affirmed, false) then case when a.user_affirmed then a.id else b.id end
-        when a.last_confirmed > b.last_confirmed then a.id when b.last_confirmed > a.last_confirmed then b.id when coalesce(b.confidence, 0) > coalesce(a.confidence, 0) then b.id else a.id end as winner
-      from facts a join facts b on a.subject = b.subject and a.predicate = b.predicate and a.agent_id = b.agent_id and a.object <> b.object and a.id < b.id where a.is_active and b.is_active and a.predicate in ('works_at', 'lives_at', 'has_name', 'married_to')""",
     "causal_endpoints": f"select f.id, c.k is not null as is_endpoint from facts f left join {FACT_CAUSAL} c on c.k = f.id",
     "known_preferences": "select f.id from facts f where f.predicate in ('likes', 'prefers') and not exists (select 1 from facts g where g.predicate = 'dislikes' and lower(trim(g.object)) = lower(trim(f.object)))",
     "preference_derivation": "select id, object, case when predicate in ('dislikes', 'hates', 'prefers_not') then 'negative' else 'positive' end as sentiment from facts where lower(subject) = 'user' and predicate in ('likes', 'loves', 'prefers', 'dislikes', 'hates', 'prefers_not')",
-    "fact_change_causes": "select a.id as old_id, b.id as new_id from facts a join facts b on a.subject = b.subject and a.predicate = b.predicate and a.agent_id = b.agent_id and a.object <> b.object where not a.is_active and b.is_active and a.predicate in ('prefers', 'uses', 'works_at')",
-    "two_hop_entities": """with d as (select distinct subject, object from facts where predicate = 'works_with') select distinct f.id from facts f join d on lower(f.subject) = lower(d.object) where f.subject <> d.subject""",
-    # ranking
-    "recall_bm25": f"with {BM25} select id, score from bm where score >= 0.1 order by score desc, id limit 10",
-    "substring_bm25": """with d as (select doc_id as id, lower(text) as t from documents where text is not null), tf as (select id, (length(t) - length(replace(t, 'garden', ''))) / 6 as tf, length(t) as dl from d), s as (select count(*) as n, sum(case when tf > 0 then 1 else 0 end) as df, avg(dl) as avgdl from tf)
-      select id, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) as score from tf cross join s where tf > 0""",
-    "fts_all_terms": f"with {BM25} select b.id, b.score from bm b join (select id, count(*) as k from tf where term in ('garden', 'train') group by id) m on m.id = b.id where k = 2 order by b.score desc, b.id limit 20",
-    "vector_topk": f"with {VEC} select qid, vec_id, round(cosine, 5) as cosine from (select *, row_number() over (partition by qid order by round(cosine, 9) desc, vec_id) as rn from sim) x where rn <= 10 and cosine >= 0.1",
-    "vector_best": f"with {VEC} select vec_id, round(max(cosine), 5) as best from sim group by vec_id having max(cosine) >= 0.3",
-    "rank_fusion": f"""with {BM25}, r1 as (select id, row_number() over (order by score desc, id) - 1 as r from bm), r2 as (select doc_id as id, row_number() over (order by n_chars desc nulls last, doc_id) - 1 as r from documents),
-      u as (select id, 0.4 / (60 + r + 1) as w from r1 where r < 50 union all select id, 0.6 / (60 + r + 1) from r2 where r < 50) select id, round(sum(w), 9) as score from u group by id""",
-    "hybrid_outer": f"""with {BM25}, r1 as (select id, row_number() over (order by score desc, id) as r from bm), r2 as (select doc_id as id, row_number() over (order by n_chars desc nulls last, doc_id) as r from documents)
-      select coalesce(a.id, b.id) as id, round(60 * (coalesce(0.4 / (60 + a.r), 0.0) + coalesce(0.6 / (60 + b.r), 0.0)), 6) as score from (select * from r1 where r <= 40) a full outer join (select * from r2 where r <= 40) b on a.id = b.id""",
-    "linear_fusion": f"with {BM25} select id, round(sum(s), 8) as score from (select id, 0.3 * score as s from bm union all select doc_id, 0.7 * least(n_chars / 10000.0, 1.0) from documents where n_chars is not null) u group by id",
-    # retention and pruning
-    "retention_facts": f"select f.id, {FACT_SCORE} as score from facts f left join {FACT_CAUSAL} c on c.k = f.id where f.is_active",
-    "retention_episodes": f"select f.id, {EP_SCORE} as score from eps f left join {FACT_CAUSAL.replace(chr(39) + 'fact' + chr(39), chr(39) + 'episode' + chr(39))} c on c.k = f.id",
-    "retention_histogram": f"with s as (select {FACT_SCORE} as score from facts f left join {FACT_CAUSAL} c on c.k = f.id where f.is_active) select case when score >= 0.6 then 'high' when score >= 0.3 then 'medium' else 'low' end as band, count(*) as n, round(avg(score), 5) as mean from s group by 1",
-    "active_forgetting": f"with s as (select f.id, f.user_affirmed, {FACT_SCORE} as score from facts f left join {FACT_CAUSAL} c on c.k = f.id where f.is_active) select id, score from s where score < 0.25 and not coalesce(user_affirmed, false)",
     "ttl_expiry": "select id from eps where (ttl = '7d' and created_at < AS_OF - interval 7 day) or (ttl = '30d' and created_at < AS_OF - interval 30 day) or (ttl = '90d' and created_at < AS_OF - interval 90 day)",
     "confidence_decay": "with d as (select id, confidence, access_count, floor((MICROS(AS_OF) - MICROS(last_confirmed)) / 86400000000.0 / 30) as months from facts where is_active and confidence is not null and last_confirmed is not null) select id, round(confidence - 0.05 * months + least(0.02 * access_count, 0.1), 6) as confidence from d where months >= 1 and access_count <= 5",
-    "prune_lowest": "select id from (select id, row_number() over (order by confidence nulls first, created_at, id) as rn from facts where not coalesce(user_affirmed, false)) x where rn <= 50",
-    # time
-    "facts_as_of": "select id, object from facts where created_at <= timestamp '2025-01-01 00:00:00' and not (not is_active and updated_at <= timestamp '2025-01-01 00:00:00')",
-    "as_of_snapshot": """select fact_id, is_active, confidence from (select fact_id, is_active, confidence, row_number() over (partition by fact_id order by snapshot_at desc, ingested_at desc) as rn from sheep_fact_snapshots where snapshot_at <= timestamp '2025-01-01 00:00:00') x where rn = 1""",
-    "belief_timeline": "select id, 'created' as event, MICROS(created_at) as at_us, confidence from facts where subject ilike '%user%' union all select id, 'retracted', MICROS(updated_at), 0.0 from facts where subject ilike '%user%' and not is_active",
-    "belief_evolution": "select subject, predicate, count(*) as n, MICROS(min(created_at)) as first_us, MICROS(max(created_at)) as last_us from facts group by subject, predicate having count(*) > 1",
-    "changes_since": "select 'new_fact' as kind, count(*) as n from facts where is_active and created_at >= timestamp '2025-06-01 00:00:00' union all select 'retraction', count(*) from facts where not is_active and updated_at >= timestamp '2025-06-01 00:00:00' union all select 'new_episode', count(*) from eps where created_at >= timestamp '2025-06-01 00:00:00'",
-    "snapshot_diff": "with s as (select id, created_at <= timestamp '2025-01-01 00:00:00' and (is_active or updated_at > timestamp '2025-01-01 00:00:00') as was, created_at <= timestamp '2025-06-01 00:00:00' and (is_active or updated_at > timestamp '2025-06-01 00:00:00') as is_now from facts) select case when is_now then 'added' else 'removed' end as change, count(*) as n from s where was <> is_now group by 1",
     "when_learned": "select subject, predicate, MICROS(min(first_seen)) as learned_us, min_by(id, concat(cast(MICROS(first_seen) as varchar(20)), id)) as id from facts group by subject, predicate",
     "temporal_neighbourhood": "select a.id, count(*) as near from facts a join eps e on e.agent_id = a.agent_id and e.created_at between a.created_at - interval 7 day and a.created_at + interval 7 day group by a.id",
     # graph
     "causal_chain": "with recursive chain(root, id, cause_id, depth) as (select id, id, cause_id, 1 from links where effect_type = 'fact' and confidence >= 0.9 union all select c.root, l.id, l.cause_id, c.depth + 1 from chain c join links l on l.effect_id = c.cause_id where c.depth < 4) select distinct root, id, depth from chain",
     "knowledge_graph_edges": "select id, subject as src, object as dst, predicate as label from facts where is_active and length(object) < 50 and not MATCHES(object, '^[0-9]+$')",
     "graph_degrees": "select node, count(*) as degree from (select cause_id as node from links where cause_id is not null union all select effect_id from links where effect_id is not null) u group by node",
-    "bidirectional_two_hop": "with e as (select cause_id as a, effect_id as b from links where cause_id is not null and effect_id is not null and confidence >= 0.5 union select effect_id, cause_id from links where cause_id is not null and effect_id is not null and confidence >= 0.5) select x.a as start, x.b as via, count(distinct y.b) as reach from e x join e y on y.a = x.b and y.b <> x.a group by 1, 2",
-    # text rules
-    "episode_scores": """with t as (select id, summary, lower(summary) as s from eps) select id, round(least(1.0, 0.3 + (case when STRPOS(summary, '!') > 0 then 0.1 else 0 end) + (case when MATCHES(s, 'important|remember|keep in mind') then 0.2 else 0 end) + (case when STRPOS(summary, '?') > 0 then 0.1 else 0 end)), 6) as salience,
-      round(least(1.0, 0.4 + (case when MATCHES(s, 'solved|sorted out|finally') then 0.2 else 0 end) + (case when MATCHES(s, 'thank|merci|danke') then 0.1 else 0 end)), 6) as utility from t""",
-    "intent_classes": "select request_id, case when MATCHES(lower(query_text), '^(when|wann|quand|cuando|quando)') then 'temporal' when MATCHES(lower(query_text), '^(why|warum|pourquoi|por que)') then 'causal' when MATCHES(lower(query_text), '^(who|wer|qui|quem)') then 'entity' else 'question' end as intent from reqs where query_text is not null",
-    "question_flags": "select request_id, MATCHES(lower(query_text), 'how (long|many|much)') as counts, MATCHES(lower(query_text), '^(is|are|do|does|did|was) ') as yes_no from reqs where query_text is not null",
-    "ordered_keywords": "select doc_id, SIZE(TOKENS(text)) as n_tokens from documents where text is not null",
     "predicate_normalise": "select id, lower(replace(TRIM(predicate), ' ', '_')) as predicate from facts",
-    "triple_levenshtein": "select a.id as a_id, b.id as b_id, levenshtein(a.object, b.object) as distance from facts a join facts b on a.agent_id = b.agent_id and a.subject = b.subject and a.predicate = b.predicate and a.id < b.id where length(a.object) > 10 and length(b.object) > 10 and 1 - levenshtein(a.object, b.object) / cast(greatest(length(a.object), length(b.object)) as double) > 0.85",
-    "document_pii_counts": "select source, sum(case when MATCHES(text, '[A-Za-z0-9._]+@[A-Za-z0-9.-]+') then 1 else 0 end) as emails, sum(case when MATCHES(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') then 1 else 0 end) as ssns from documents group by source",
-    # windows over time
     "sliding_rate": "select event_id, n > 3 as limited from (select event_id, count(*) over (partition by user_id order by ts range between interval 3600 second preceding and current row) as n from events) x",
     "idle_gaps": "select user_id, count(*) as sessions from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events) x where prev is null or MICROS(ts) - MICROS(prev) > 7200000000 group by user_id",
-    "learning_throttle": "select event_id from (select event_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events) x where prev is null or MICROS(ts) - MICROS(prev) >= 1800000000",
     "sleep_decision": "with a as (select agent_id, count(*) as n, (MICROS(AS_OF) - MICROS(max(received_at))) / 3600000000.0 as idle from reqs group by agent_id) select agent_id, n > 50 or (idle > 1 and n > 10) or (idle > 6 and n > 5) or idle > 24 as due from a",
-    "audit_chain": "with c as (select id, SHA(concat(id, '|', coalesce(predicate, '')))# as h from facts) select id, SHA(concat(coalesce(lag(h) over (order by id), ''), h))# as chained from c",
-    # second group: fusion variants, similarity, rules over whole texts
-    "intersection_join": "select id, count(*) as k, round(avg(s), 6) as score from (select id, 1.0 as s from facts where subject = 'user' union all select id, 0.8 from facts where predicate in ('likes', 'prefers', 'uses') union all select id, 0.5 from facts where confidence >= 0.5) u group by id having count(*) = 3",
     "causal_contradictions": f"""with n as (select id, agent_id, lower(cause) as c, lower(effect) as e, SQUEEZED(cause) as ck, SQUEEZED(effect) as ek from links where cause is not null and effect is not null),
       t as (select agent_id, c as x from n union select agent_id, e from n), w as (select agent_id, x, MATCHES(x, '{NEGATION}') as neg, UNNEGATED(x) as k, SQUEEZED(x) as s from t),
       opp as (select a.agent_id, a.x, b.x as y, SIMILAR(a.s, b.s) as near from w a join w b on a.agent_id = b.agent_id where a.neg and not b.neg and SIMILAR(a.k, b.k)), o as (select agent_id, x, y, near from opp union all select agent_id, y, x, near from opp)
       select a.id as a_id, b.id as b_id, 'same_cause_different_effect' as type from o join n a on a.agent_id = o.agent_id and a.e = o.x join n b on b.agent_id = o.agent_id and b.e = o.y where not o.near and a.id < b.id and SIMILAR(a.ck, b.ck)
       union all select a.id, b.id, 'same_effect_different_cause' from o join n a on a.agent_id = o.agent_id and a.c = o.x join n b on b.agent_id = o.agent_id and b.c = o.y where a.id < b.id and SIMILAR(a.ek, b.ek)""",
-    "causal_search": """select id, case when STRPOS(lower(effect), 'kitchen plan') > 0 then 0.9 when STRPOS(lower(cause), 'kitchen plan') > 0 then 0.85 else 0.4 * ((case when STRPOS(lower(effect), 'kitchen') > 0 then 1 else 0 end) + (case when STRPOS(lower(effect), 'plan') > 0 then 1 else 0 end)) end as score from links
-      where STRPOS(lower(effect), 'kitchen') > 0 or STRPOS(lower(effect), 'plan') > 0 or STRPOS(lower(cause), 'kitchen plan') > 0""",
-    "tiered_search": f"with {BM25} select id, min(tier) as tier, round(max(score), 6) as score from (select id, 1 as tier, score from bm where score >= 0.3 union all select doc_id, 2, 0.01 from documents where STRPOS(lower(text), 'garden shed') > 0) u group by id",
-    "semantic_recall": f"""with {BM25}, fact_doc as (select f.id as fid, f.confidence from facts f where f.is_active and STRPOS(lower(f.object), 'garden') > 0), r as (select id, row_number() over (order by score desc, id) as r from bm)
-      select cast(id as varchar(40)) as id, round(1.0 / (60 + r), 6) as score from r where r <= 20 union all select fid, round(0.01 * (0.8 + 0.2 * coalesce(confidence, 0.0)), 6) from fact_doc""",
-    "vector_dot": f"with {VEC} select qid, vec_id, round((DOT(qe, embedding) + 1) / 2, 5) as dot_score from qv join embeddings on vec_id <> qid where DOT(qe, embedding) >= 0.3",
-    "vectors_by_label": f"with {VEC} select qid, label, round(avg(cosine), 5) as mean, count(*) as n from sim group by qid, label",
-    "relevant_labels": f"with {VEC}, c as (select qid, label, avg(cosine) as m from sim group by qid, label) select qid, label from (select *, row_number() over (partition by qid order by round(m, 9) desc, label) as rn from c) x where rn <= 3",
-    "similar_within_label": f"with {VEC}, me as (select vec_id as own, label as own_label from embeddings) select qid, count(*) as n from sim join me on me.own = sim.qid where label = own_label and cosine >= 0.1 group by qid",
-    "fact_patterns": "select msg_id, lower(regexp_extract(content, 'I prefer ([a-z]+ [a-z]+)', 1)) as object from msgs where MATCHES(content, 'I prefer [a-z]+ [a-z]+')",
-    "causal_patterns": "select msg_id, regexp_extract(content, 'We moved ([a-z ]+) because ([a-z ]+)', 1) as effect, regexp_extract(content, 'We moved ([a-z ]+) because ([a-z ]+)', 2) as cause from msgs where MATCHES(content, 'We moved [a-z ]+ because [a-z ]+')",
-    "procedure_patterns": "select msg_id, regexp_extract(content, 'When ([a-z ]+) fails, I ([a-z ]+)', 1) as trigger_text, regexp_extract(content, 'When ([a-z ]+) fails, I ([a-z ]+)', 2) as action from msgs where MATCHES(content, 'When [a-z ]+ fails, I [a-z ]+')",
     "causal_confidence": "select id, round(least(1.0, greatest(0.1, 0.5 + (case when strength = 'direct' then 0.2 when strength = 'contributing' then 0.1 else 0 end) + (case when length(coalesce(mechanism, '')) > 0 then 0.15 else 0 end) - (case when length(cause) < 10 then 0.15 else 0 end))), 6) as confidence from links",
     "fact_confidence": "select id, round(least(1.0, greatest(0.0, 0.5 + (case when predicate in ('has_name', 'works_at', 'lives_at') then 0.15 else 0 end) + (case when user_affirmed then 0.2 else 0.1 end) - (case when length(object) < 4 then 0.2 else 0 end))), 6) as confidence from facts",
-    "semantic_density": "with t as (select id, summary, SIZE(TOKENS(summary)) as n from eps where summary is not null) select id, round(least(1.0, 0.1 * (case when MATCHES(summary, '[0-9]') then 1 else 0 end) + 0.1 * (case when MATCHES(summary, '[0-9]{4}-[0-9]{2}') then 1 else 0 end) + 0.4 * least(n / 50.0, 1.0)), 6) as density from t",
     "ttl_assignment": "select id, case when (emotional_salience + utility_score) / 2 > 0.8 then 'permanent' when (emotional_salience + utility_score) / 2 > 0.6 then '90d' when (emotional_salience + utility_score) / 2 > 0.4 then '30d' else '7d' end as ttl from eps where emotional_salience is not null and utility_score is not null",
     "document_texts": "select id, concat_ws(' ', subject, replace(predicate, '_', ' '), object) as doc from facts union all select id, concat_ws(' ', cause, 'causes', effect) from links",
-    "temporal_phrases": "select request_id, case when MATCHES(lower(query_text), 'yesterday|gestern|hier|ayer') then MICROS(received_at - interval 1 day) when MATCHES(lower(query_text), 'last week') then MICROS(received_at - interval 7 day) else MICROS(received_at) end as range_start_us from reqs where query_text is not null",
     "profile_stability": "select subject, predicate, count(*) as n, count(*) >= 3 and (MICROS(max(created_at)) - MICROS(min(created_at))) >= 604800000000 as stable from facts where is_active group by subject, predicate",
-    "low_quality_facts": "select id, case when length(TRIM(object)) < 3 then 'short' when lower(object) in ('it', 'this', 'that', 'something') then 'empty' when confidence < 0.3 then 'doubtful' else 'repeated' end as why from facts where length(TRIM(object)) < 3 or lower(object) in ('it', 'this', 'that', 'something') or confidence < 0.3 or lower(subject) = lower(object)",
-    "cleanup_actions": "with g as (select *, count(*) over (partition by lower(subject), lower(predicate)) as n, row_number() over (partition by lower(subject), lower(predicate) order by user_affirmed desc nulls last, confidence desc nulls last, length(object) desc, id) as rn from facts where is_active) select id from g where n > 1 and rn > 1 and confidence < 0.5 and not coalesce(user_affirmed, false)",
     "predicate_success": "select predicate, round(sum(case when user_affirmed then 1 else 0 end) / cast(count(*) as double), 6) as success_rate, count(*) as used from facts group by predicate",
     "one_sample_t": "with s as (select predicate, avg(confidence) as m, stddev_samp(confidence) as sd, count(confidence) as n from facts group by predicate) select predicate, round((m - 0.5) / (sd / sqrt(n)), 5) as t from s where n >= 5 and sd > 0",
     "precision_by_tag": "select topic, round(sum(case when emotional_salience >= 0.5 and utility_score >= 0.5 then 1 else 0 end) / cast(greatest(sum(case when emotional_salience >= 0.5 then 1 else 0 end), 1) as double), 6) as prec, count(*) as n from eps group by topic",
-    "size_chunks": "select session_id, msg_id, floor((sum(length(coalesce(content, ''))) over (partition by session_id, agent_id order by seq, msg_id rows between unbounded preceding and current row) - 1) / 25000) as chunk from msgs",
     "weekly_activity": "select agent_id, MICROS(date_trunc('week', created_at)) as week_us, count(*) as n from eps group by 1, 2",
     "forget_by_topic": "select 'fact' as kind, count(*) as n from facts where is_active and (STRPOS(lower(subject), 'project') > 0 or STRPOS(lower(object), 'project') > 0) union all select 'episode', count(*) from eps where STRPOS(lower(topic), 'project') > 0 or STRPOS(lower(summary), 'project') > 0",
     "delete_before": "select 'fact' as kind, id from facts where created_at < timestamp '2024-03-01 00:00:00' union all select 'episode', id from eps where created_at < timestamp '2024-03-01 00:00:00'",
-    "fact_listing": "select id, count(*) over () as total from facts where is_active and predicate = 'likes' order by id limit 100",
-    "fuzzy_objects": "select a.id as a_id, b.id as b_id, case when lower(a.object) = lower(b.object) then 1.0 else 0.9 end as score from facts a join facts b on a.agent_id = b.agent_id and a.subject = b.subject and a.id < b.id where lower(a.object) = lower(b.object) or STRPOS(lower(a.object), lower(b.object)) > 0 or STRPOS(lower(b.object), lower(a.object)) > 0",
     "trust_scores": "select agent_id, round(0.6 * least(count(*), 100) / 100.0 + 0.4 * avg(case when is_active then 1.0 else 0.0 end), 6) as trust from facts group by agent_id",
     "order_status_as_of": "select o_custkey, max(o_orderkey) as last_order, MICROS(max(o_orderdate)) as at_us from orders where o_orderdate <= timestamp '1997-01-01 00:00:00' group by o_custkey",
 }
