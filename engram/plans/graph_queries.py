@@ -89,6 +89,6 @@ ORACLES = {
     "path_stories": f"with recursive {FACTS}, {LINKS}, {_PATHS.format(hops=2)}, x as (select path, unnest(path) as node, generate_subscripts(path, 1) as i from p where n > 0), n as (select id, min(concat_ws(' ', subject, predicate, object)) as name from facts group by id), t as (select path, string_agg(coalesce(name, node), ' -> ' order by i) as s from x left join n on n.id = x.node group by path) select array_to_string(path, '>') as path, case when length(s) > 2000 then left(s, 1997) || '...' else s end as story from t",
     "target_likeness": f"with {LINKS}, s as (select id, {likeness_sql('effect', chr(39) + TARGET + chr(39))} as score from links where effect is not null) select id, round(score, 6)::double as score from s where round(score, 6) >= 0.15",
     "entity_gates": f"with {FACTS}, r as (select lower(subject) as s, count(*) as k, sum(contains(lower(concat_ws(' ', predicate, object)), 'festival')::int + contains(lower(concat_ws(' ', predicate, object)), 'coffee')::int)::bigint as h from facts where subject is not null group by 1 having count(*) >= 20), o as (select h as n from r where s = 'mafick team'), x as (select s as other, h as m from r where s <> 'mafick team' order by h desc, s desc limit 1) select 'mafick team' as person, n, other, m, (n = 0 and m > 0) or m > 3 * n as blocked from o, x",
-    "fuzzy_best": f"""with {FACTS}, g as (select id, lower(trim(replace(object, 'İ', 'i'))) as x, lower(trim(replace(first_value(object) over w, 'İ', 'i'))) as y, first_value(id) over w as best from facts where is_active and subject is not null and predicate is not null and object is not null window w as (partition by lower(subject), lower(predicate) order by coalesce(user_affirmed, false) desc, coalesce(confidence, -1) desc, len(evidence) desc nulls last, length(object) desc, id))
+    "fuzzy_best": f"""with {FACTS}, g as (select id, lower(regexp_replace(replace(object, 'İ', 'i'), '^ +| +$', '', 'g')) as x, lower(regexp_replace(replace(first_value(object) over w, 'İ', 'i'), '^ +| +$', '', 'g')) as y, first_value(id) over w as best from facts where is_active and subject is not null and predicate is not null and object is not null window w as (partition by lower(subject), lower(predicate) order by coalesce(user_affirmed, false) desc, coalesce(confidence, -1) desc, len(evidence) desc nulls last, length(object) desc, id))
 select id, best, round(case when x = y then 1.0 when contains(x, y) or contains(y, x) then 0.9 else greatest({_OVER(_TOKENS.format('x'), _TOKENS.format('y'))}, {_OVER(_LETTERS.format('x'), _LETTERS.format('y'))}) end, 6)::double as score from g where id <> best""",
 }
