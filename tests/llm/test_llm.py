@@ -179,3 +179,24 @@ def test_scans_are_linear():
         began = time.time()
         pii.find(text)
         assert time.time() - began < 20
+
+
+def test_buckets_are_split_until_they_fit(spark):
+    rng = random.Random(9)
+    keys = [b"same key"] * 700 + [b"a common beginning " * 3 + str(rng.randrange(10**6)).encode() for _ in range(3_000)] + [b"a" * n for n in range(1, 40)] + [b""] * 5
+    rows = spark.createDataFrame([(k, 1, str(i)) for i, k in enumerate(keys)], statements.COUNTS)
+    placed = statements.buckets(rows, limit=300).collect()
+    by = {}
+    for r in placed:
+        by.setdefault(bytes(r["bucket"]), []).append(bytes(r["canon"]))
+    assert len(placed) == len(keys) and len({(k, b) for b, ks in by.items() for k in ks}) == len(set(keys))  # a key has one bucket
+    assert all(len(ks) <= 300 or len(set(ks)) == 1 for ks in by.values()) and max(map(len, by)) > 57  # the recursion went below the shared beginning
+
+
+def test_most_texts_are_joined_by_the_tree(monkeypatch):
+    enc, joins = tokens.encoder("byte_bpe_50k"), []
+    real = tokens.join
+    monkeypatch.setattr(tokens, "join", lambda *a: joins.append(1) or real(*a))
+    for text in ("word " * 400, "x" * 3_000, "日本語" * 800, "a1" * 2_000, " " * 3_000):
+        joins.clear()
+        assert tokens.encode(enc, text) == enc.encode_ordinary(text) and len(joins) >= 3
