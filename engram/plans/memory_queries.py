@@ -130,7 +130,7 @@ def retention_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fact_scores(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean"))
 
 
-def active_forgetting(spark: SparkSession, sf_dir: str, least: float = 0.33) -> DataFrame:
+def active_forgetting(spark: SparkSession, sf_dir: str, least: float = 0.2) -> DataFrame:
     """What is forgotten: episodes out of their time, then episodes and facts that score under ``least``, but permanent and affirmed ones."""
     e, f = eps(spark, sf_dir), facts(spark, sf_dir).where("is_active")
     days = F.when(F.col("ttl") == "7d", 7).when(F.col("ttl") == "30d", 30).when(F.col("ttl") == "90d", 90)
@@ -444,7 +444,7 @@ select id, case when near then 'near' else 'unsure' end as why from y where near
     "retention_episodes": f"with {FACTS}, {EPS}, {LINKS}, {ES} select id, score from es",
     "retention_histogram": f"with {FACTS}, {LINKS}, {FS} select case when score >= 0.6 then 'high' when score >= 0.3 then 'medium' else 'low' end as band, count(*) as n, round(avg(score), 5) as mean from fs group by 1",
     "active_forgetting": f"""with {FACTS}, {EPS}, {LINKS}, {FS}, {ES}, x as (select id from eps where created_at < timestamp '2025-12-01 00:00:00' - to_days(case ttl when '7d' then 7 when '30d' then 30 when '90d' then 90 end))
-select distinct id, 'expired' as why from x union all select distinct id, 'episode' from es where score < 0.33 and ttl is distinct from 'permanent' and id not in (select id from x) union all select distinct id, 'fact' from fs where score < 0.33 and not coalesce(user_affirmed, false)""",
+select distinct id, 'expired' as why from x union all select distinct id, 'episode' from es where score < 0.2 and ttl is distinct from 'permanent' and id not in (select id from x) union all select distinct id, 'fact' from fs where score < 0.2 and not coalesce(user_affirmed, false)""",
     "prune_lowest": f"with {FACTS}, {EPS}, {LINKS} select * from (select 'fact' as kind, id from facts where not coalesce(user_affirmed, false) order by is_active nulls first, confidence nulls first, created_at nulls first, id limit 50) union all select * from (select 'episode', id from eps order by utility_score nulls first, created_at nulls first, id limit 50) union all select * from (select 'link', id from links order by confidence nulls first, created_at nulls first, id limit 50)",
     "rolling_last_1000": "select count(*) as n, round(avg(value), 6) as mean from (select value from events order by ts desc, event_id desc limit 1000)",
     "latency_percentiles": "with v as (select event_type, value, row_number() over (partition by event_type order by value, event_id) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null) select event_type, max(case when i = floor(n * 0.5) then value end) as p50, max(case when i = floor(n * 0.95) then value end) as p95, max(case when i = floor(n * 0.99) then value end) as p99 from v group by event_type",

@@ -88,11 +88,6 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 FACT_CAUSAL = "(select distinct k from (select cause_id k from links where cause_type = 'fact' union all select effect_id from links where effect_type = 'fact') u)"
-AGE = "greatest((MICROS(AS_OF) - MICROS(f.created_at)) / 86400000000.0, 0.0)"
-FACT_SCORE = (f"round(0.2 * least(f.access_count / greatest({AGE}, 1.0), 1.0) + 0.15 * coalesce(f.confidence, 0.0) + 0.25 * case when c.k is not null then 1.0 else 0.2 end "
-              f"+ 0.15 * exp(-{AGE} / 30.0) + 0.15 * exp(-(count(*) over (partition by f.predicate) - 1) / 3.0) + 0.1 * case when f.user_affirmed then 1.0 else 0.3 end, 6)")
-EP_SCORE = (f"round(0.2 * least(f.access_count / greatest({AGE}, 1.0), 1.0) + 0.15 * coalesce(f.emotional_salience, 0.0) + 0.25 * case when c.k is not null then 1.0 else 0.2 end "
-            f"+ 0.15 * exp(-{AGE} / 30.0) + 0.15 * exp(-(count(*) over (partition by lower(f.topic)) - 1) / 5.0) + 0.1 * case f.ttl when 'permanent' then 1.0 when '90d' then 0.7 when '30d' then 0.3 else 0.1 end, 6)")
 
 SQL = {
     # filters and lookups
@@ -108,30 +103,23 @@ SQL = {
     "primary_predicates": "select predicate, count(*) as n from facts where predicate in ('likes', 'works_at', 'lives_at', 'has_name') or confidence >= 0.95 group by predicate",
     "hosted_why": "select id, confidence from links where STRPOS(lower(concat(cause, ' ', effect, ' ', coalesce(mechanism, ''))), 'garden') > 0 order by confidence desc nulls last, id limit 10",
     "core_facts_per_subject": "select subject, id, confidence from (select *, row_number() over (partition by subject order by confidence desc nulls last, id) as rn from facts where is_active) x where rn <= 3",
-    "store_statistics": """select (select count(*) from eps) as episodes, (select count(*) from facts) as facts_n, (select count(*) from facts where is_active) as active, (select round(avg(confidence), 6) from facts where is_active) as avg_confidence, (select count(*) from links) as links_n, (select MICROS(max(created_at)) from eps) as newest""",
     "exact_upsert": "select lower(TRIM(subject)) as s, lower(TRIM(predicate)) as p, lower(TRIM(object)) as o, max(confidence) as confidence, count(*) as n from facts group by 1, 2, 3",
     "template_mining": "with s as (select concat(NORMALISED(cause), '→', NORMALISED(effect), '→', NORMALISED(mechanism)) as sig, confidence from links where confidence is not null) select sig, count(*) as n, round(avg(confidence), 6) as mean from s group by sig having count(*) >= 2 and avg(confidence) >= 0.6",
     "confidence_distribution": "select case when confidence >= 0.9 then 'high' when confidence >= 0.7 then 'good' when confidence >= 0.5 then 'medium' when confidence is null then 'none' else 'low' end as bucket, count(*) as n from facts group by 1",
-    "memory_limits": "select 'episodes' as kind, count(*) as n, count(*) > 10000 as over_limit from eps union all select 'facts', count(*), count(*) > 50000 from facts where is_active union all select 'links', count(*), count(*) > 10000 from links",
-    "entity_keyword_index": "with w as (select subject, UNNEST(TOKENS(object)) as word from facts where lower(subject) <> 'user') select subject, word, count(*) as n from w where length(word) > 3 group by subject, word",
     "daily_quota": "select agent_id, cast(MICROS(date_trunc('day', received_at)) as bigint) as day_us, count(*) as n, count(*) > 20 as over_quota from reqs group by 1, 2",
     "usage_by_mode": "select coalesce(lower(mode_name), 'none') as mode_name, count(*) as n from reqs where received_at > AS_OF - interval 300 day group by 1",
-    "health_score": """select floor(greatest(0.0, 100 - sum((case when confidence < 0.3 then 5 else 0 end) + (case when length(trim(object)) < 3 then 10 else 0 end) + (case when access_count = 0 and last_confirmed < AS_OF - interval 30 day then 1 else 0 end)) / (2.0 * count(*)) * 100) + 0.5) as health from facts where is_active""",
     "stale_facts": "select id from facts where is_active and access_count = 0 and last_confirmed < AS_OF - interval 30 day",
     # joins
     "causal_endpoints": f"select f.id, c.k is not null as is_endpoint from facts f left join {FACT_CAUSAL} c on c.k = f.id",
     "known_preferences": "select f.id from facts f where f.predicate in ('likes', 'prefers') and not exists (select 1 from facts g where g.predicate = 'dislikes' and lower(trim(g.object)) = lower(trim(f.object)))",
     "preference_derivation": "select id, object, case when predicate in ('dislikes', 'hates', 'prefers_not') then 'negative' else 'positive' end as sentiment from facts where lower(subject) = 'user' and predicate in ('likes', 'loves', 'prefers', 'dislikes', 'hates', 'prefers_not')",
     "ttl_expiry": "select id from eps where (ttl = '7d' and created_at < AS_OF - interval 7 day) or (ttl = '30d' and created_at < AS_OF - interval 30 day) or (ttl = '90d' and created_at < AS_OF - interval 90 day)",
-    "confidence_decay": "with d as (select id, confidence, access_count, floor((MICROS(AS_OF) - MICROS(last_confirmed)) / 86400000000.0 / 30) as months from facts where is_active and confidence is not null and last_confirmed is not null) select id, round(confidence - 0.05 * months + least(0.02 * access_count, 0.1), 6) as confidence from d where months >= 1 and access_count <= 5",
     "when_learned": "select subject, predicate, MICROS(min(first_seen)) as learned_us, min_by(id, concat(cast(MICROS(first_seen) as varchar(20)), id)) as id from facts group by subject, predicate",
     "temporal_neighbourhood": "select a.id, count(*) as near from facts a join eps e on e.agent_id = a.agent_id and e.created_at between a.created_at - interval 7 day and a.created_at + interval 7 day group by a.id",
     # graph
     "causal_chain": "with recursive chain(root, id, cause_id, depth) as (select id, id, cause_id, 1 from links where effect_type = 'fact' and confidence >= 0.9 union all select c.root, l.id, l.cause_id, c.depth + 1 from chain c join links l on l.effect_id = c.cause_id where c.depth < 4) select distinct root, id, depth from chain",
-    "knowledge_graph_edges": "select id, subject as src, object as dst, predicate as label from facts where is_active and length(object) < 50 and not MATCHES(object, '^[0-9]+$')",
     "graph_degrees": "select node, count(*) as degree from (select cause_id as node from links where cause_id is not null union all select effect_id from links where effect_id is not null) u group by node",
     "predicate_normalise": "select id, lower(replace(TRIM(predicate), ' ', '_')) as predicate from facts",
-    "sliding_rate": "select event_id, n > 3 as limited from (select event_id, count(*) over (partition by user_id order by ts range between interval 3600 second preceding and current row) as n from events) x",
     "idle_gaps": "select user_id, count(*) as sessions from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events) x where prev is null or MICROS(ts) - MICROS(prev) > 7200000000 group by user_id",
     "sleep_decision": "with a as (select agent_id, count(*) as n, (MICROS(AS_OF) - MICROS(max(received_at))) / 3600000000.0 as idle from reqs group by agent_id) select agent_id, n > 50 or (idle > 1 and n > 10) or (idle > 6 and n > 5) or idle > 24 as due from a",
     "causal_contradictions": f"""with n as (select id, agent_id, lower(cause) as c, lower(effect) as e, SQUEEZED(cause) as ck, SQUEEZED(effect) as ek from links where cause is not null and effect is not null),
@@ -148,8 +136,6 @@ SQL = {
     "one_sample_t": "with s as (select predicate, avg(confidence) as m, stddev_samp(confidence) as sd, count(confidence) as n from facts group by predicate) select predicate, round((m - 0.5) / (sd / sqrt(n)), 5) as t from s where n >= 5 and sd > 0",
     "precision_by_tag": "select topic, round(sum(case when emotional_salience >= 0.5 and utility_score >= 0.5 then 1 else 0 end) / cast(greatest(sum(case when emotional_salience >= 0.5 then 1 else 0 end), 1) as double), 6) as prec, count(*) as n from eps group by topic",
     "weekly_activity": "select agent_id, MICROS(date_trunc('week', created_at)) as week_us, count(*) as n from eps group by 1, 2",
-    "forget_by_topic": "select 'fact' as kind, count(*) as n from facts where is_active and (STRPOS(lower(subject), 'project') > 0 or STRPOS(lower(object), 'project') > 0) union all select 'episode', count(*) from eps where STRPOS(lower(topic), 'project') > 0 or STRPOS(lower(summary), 'project') > 0",
-    "delete_before": "select 'fact' as kind, id from facts where created_at < timestamp '2024-03-01 00:00:00' union all select 'episode', id from eps where created_at < timestamp '2024-03-01 00:00:00'",
     "trust_scores": "select agent_id, round(0.6 * least(count(*), 100) / 100.0 + 0.4 * avg(case when is_active then 1.0 else 0.0 end), 6) as trust from facts group by agent_id",
     "order_status_as_of": "select o_custkey, max(o_orderkey) as last_order, MICROS(max(o_orderdate)) as at_us from orders where o_orderdate <= timestamp '1997-01-01 00:00:00' group by o_custkey",
 }
