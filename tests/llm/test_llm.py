@@ -200,3 +200,13 @@ def test_most_texts_are_joined_by_the_tree(monkeypatch):
     for text in ("word " * 400, "x" * 3_000, "日本語" * 800, "a1" * 2_000, " " * 3_000):
         joins.clear()
         assert tokens.encode(enc, text) == enc.encode_ordinary(text) and len(joins) >= 3
+
+
+def test_empty_tables_and_clashing_names(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, reason string, ids string, r string, passages string, _k bigint")
+    model = language.fit(docs)
+    assert language.passages(docs, model).count() == residue.excluded(docs).count() == tokens.with_ids(docs).count() == pii.redacted(docs, "k").count() == 0
+    one = spark.createDataFrame([(1, "abc def. " * 20_000, "en", "x", "x", "x", "x", 3), (2, None, None, None, None, None, None, None), (3, "", "", "", "", "", "", 0)], docs.schema)
+    assert language.passages(one, model).count() == residue.excluded(one).count() == tokens.with_ids(one).count() == pii.redacted(one, "k").count() == 3
+    extra = facts(spark, ROWS).selectExpr("*", "'x' as canon", "1 as _k", "'y' as bucket", "null as first_id", "2 as group_id")
+    assert statements.duplicate_pairs(extra).count() == 3 and survivors.suppliers(extra).count() == 4
