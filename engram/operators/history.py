@@ -23,13 +23,15 @@ def latest_delivery(df: DataFrame, key: str, at: str, arrived: str, attrs: list[
 def change_log(states: DataFrame, attrs: list[str], block: str = "quarter") -> DataFrame:
     """(entity, attr, value, valid_from, valid_to): each attribute's own intervals. Values are text.
 
-    Within blocks rows equal to the one before are dropped; what remains meets in one window per entity.
+    Within blocks of time rows equal to the one before are dropped, before what remains meets by entity: the rows are
+    dealt by entity and block and then by entity, and all later windows and groups use that.
     """
-    logs = states.select("entity", "at", F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs])).alias("x"))
-    logs = logs.select("entity", "at", "x.attr", "x.value")
-    local = Window.partitionBy("entity", "attr", F.date_trunc(block, "at")).orderBy("at")
+    dealt = states.withColumn("_b", F.date_trunc(block, "at")).repartition("entity", "_b")
+    logs = dealt.select("entity", "at", "_b", F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs])).alias("x"))
+    logs = logs.select("entity", "at", "_b", "x.attr", "x.value")
+    local = Window.partitionBy("entity", "attr", "_b").orderBy("at")
     first = F.row_number().over(local) == 1
-    kept = logs.withColumn("_keep", first | ~F.lag("value").over(local).eqNullSafe(F.col("value"))).where("_keep").drop("_keep")
+    kept = logs.withColumn("_keep", first | ~F.lag("value").over(local).eqNullSafe(F.col("value"))).where("_keep").drop("_keep", "_b").repartition("entity")
     whole = Window.partitionBy("entity", "attr").orderBy("at")
     first = F.row_number().over(whole) == 1
     kept = kept.withColumn("_keep", first | ~F.lag("value").over(whole).eqNullSafe(F.col("value"))).where("_keep").drop("_keep")
