@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.session import stage
+
 BLOCK = 4_096
 
 
@@ -25,10 +27,6 @@ def terms(query: str) -> list[str]:
     return [t for t in re.sub(r"[^A-Za-z0-9_]+", " ", query).lower().split() if len(t) > 1]
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9_]+", " "))), " "), lambda w: F.length(w) > 1)
-
-
 def fts_query(raw: str) -> tuple[list[str], list[str]] | None:
     """(phrases, terms) that a text must all have; null for a query without any."""
     phrases = re.findall(r'"([^"]+)"', raw or "")
@@ -46,8 +44,11 @@ def bm25(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, every: b
     distinct = list(dict.fromkeys(asked))
     if not distinct:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    words = docs.where("text is not null").select("id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    counted = words.select("id", F.size("w").alias("dl"), *[F.size(F.filter("w", (lambda t: lambda x: x == t)(t))).alias(f"tf{i}") for i, t in enumerate(distinct)])
+    # Two scans of a text: its words are counted, and those that the query asks for are taken out.
+    found = F.regexp_extract_all("text", F.lit(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(distinct)})(?![A-Za-z0-9_])"), F.lit(0))
+    # A barrier keeps what refers to the counts from scanning again.
+    held = stage(docs.where("text is not null").select("id", "text"), dl=F.regexp_count("text", F.lit("[A-Za-z0-9_]{2,}")), w=F.split(F.lower(F.array_join(found, " ")), " "))
+    counted = held.where("dl > 0").select("id", "dl", *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(distinct)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))]).first()
     total = F.lit(0.0)
     for i, t in enumerate(distinct):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from engram.operators import retrieval as R
 from engram.plans.core_problems import table
 from engram.plans.rule_queries import extracted_procedures
+from engram.session import fill_cores
 from engram.plans.rule_queries import ORACLES as RULE_ORACLES
 
 QUERY, PHRASE, PLACE = "the garden shed and the night train", '"garden shed" train', "garden"
@@ -18,7 +19,7 @@ EFFECT, HABIT = "plans changed kitchen", "when the night train fails restart"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return fill_cores(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
