@@ -1,4 +1,4 @@
-"""Causal graphs: chains by text, paths in both directions, narratives, what a changed fact caused.
+"""Causal graphs: chains by id and by text, paths in both directions, narratives, what a changed fact caused.
 
 Frontiers are joined with the edges round by round and cut after each, so a round's plan doesn't hold the rounds before.
 A path holds its own nodes, so cycles end; a round keeps whole what it found.
@@ -6,11 +6,14 @@ A path holds its own nodes, so cycles end; a round keeps whole what it found.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.retrieval import text_similarity, words_over
-from engram.session import cut, salted_join
+from engram.session import BROADCAST_ROWS, bounded_join, cut, salted_join
+
+#: Links of one effect that a task joins with the walks to it; more are dealt over several.
+PIECE = 200
 
 
 def change_causes(facts: DataFrame, predicates: tuple[str, ...] = ("prefers", "uses", "works_at")) -> DataFrame:
@@ -50,6 +53,50 @@ def narrative(found: DataFrame, names: DataFrame, most: int = 2000) -> DataFrame
     return told.select("path", F.when(F.length("story") > most, F.concat(F.substring("story", 1, most - 3), F.lit("..."))).otherwise(F.col("story")).alias("story"))
 
 
+def chain_by_id(links: DataFrame, is_root: Column, rounds: int = 4) -> DataFrame:
+    """(root, id, depth) of the links behind each root: itself at depth 1, then those whose effect_id is the cause_id of one met before.
+
+    A link is met once at each depth, by however many ways, so cycles end with the rounds. Null ids of causes and effects lead
+    nowhere. Rounds walk distinct nodes from distinct starts, and only nodes that are an effect; links and roots are met at the end.
+    """
+    own = Window.partitionBy("id")
+    kinds = links.groupBy("id", "cause_id", "effect_id").agg(F.max(F.coalesce(is_root, F.lit(False))).alias("is_root"))
+    held = cut(kinds.withColumn("again", F.count("*").over(own) > 1))
+    ends = held.where("effect_id is not null").select(F.col("effect_id").alias("node"), "id", "again")
+    live = cut(ends.groupBy("node").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")))
+    ends = bounded_join(ends, live, ["node"], "inner").withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")).drop("pieces")
+    edges = cut(bounded_join(held.select(F.col("effect_id").alias("a"), F.col("cause_id").alias("node")).where("a is not null").distinct(), live, ["node"], "inner"))
+    roots = cut(bounded_join(held.where("is_root").select(F.col("id").alias("root"), F.col("cause_id").alias("node"), "again").distinct(), live, ["node"], "inner"))
+    front = roots.select(F.col("node").alias("start"), "node", "pieces").distinct()
+    walks = None
+    for depth in range(2, rounds + 1):
+        if depth > 2:
+            front = salted_join(front.select("start", F.col("node").alias("a")), edges, ["a"], "inner").select("start", "node", "pieces").distinct()
+        front = cut(front)
+        if front.isEmpty():
+            break
+        step = front.select("start", "node", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(depth).alias("depth"))
+        walks = step if walks is None else walks.unionByName(step)
+    out = held.where("is_root").select(F.col("id").alias("root"), "id", F.lit(1).alias("depth")).distinct()
+    if walks is None:
+        return out
+    starts = roots.select("root", F.col("node").alias("start"), "again")
+    # A number of its own, as small pieces that grow in the join would be put together again.
+    spark = links.sparkSession
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    walks = walks.repartition(many, "node", "piece")
+
+    def met(to: DataFrame, by: DataFrame) -> DataFrame:
+        ways = by.drop("again").repartition(many, "node", "piece").join(walks, ["node", "piece"])
+        return bounded_join(ways, to.drop("again"), ["start"], "inner", limit=10 * BROADCAST_ROWS).select("root", "id", "depth")
+
+    # Of ids that stand for one link each, no row comes twice; only others are made distinct.
+    out = out.unionByName(met(starts.where("not again"), ends.where("not again")))
+    if held.where("again").isEmpty():
+        return out
+    return out.unionByName(met(starts.where("again"), ends).unionByName(met(starts.where("not again"), ends.where("again"))).distinct())
+
+
 def chain_by_text(links: DataFrame, target: str, least: float = 0.15, rounds: int = 5, near: float = 0.85) -> DataFrame:
     """(root, id, depth, total) of causal chains that explain a target text.
 
